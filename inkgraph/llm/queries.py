@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkgraph.llm import quality
 from inkgraph.llm.near_dup import near_duplicate_classes
 from inkgraph.llm.registry import SQL, query, table
 
@@ -12,3 +13,12 @@ from inkgraph.llm.registry import SQL, query, table
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents on two-word shingles, similarity 0.8 or more."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures and the verdict of the threshold table for all documents."""
+    return quality.quality_measures(table(spark, sf_dir, "documents")).select(*quality.RESULT)
+
+
+SQL["op9_quality_rules"] = quality.SQL
