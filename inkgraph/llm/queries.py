@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from inkgraph.llm import quality
 from inkgraph.llm.near_dup import near_duplicate_classes
 from inkgraph.llm.registry import SQL, query, table
+from inkgraph.llm.tokens import token_counts
+
+#: Folder of the vocabulary files, the same on every machine.
+TOKENIZERS = os.environ.get("INKGRAPH_TOKENIZERS", "")
+
+
+def vocabulary(name: str) -> str:
+    """Where a vocabulary file is: the folder named in INKGRAPH_TOKENIZERS, else the installed package's."""
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 @query
@@ -22,3 +37,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_quality_rules"] = quality.SQL
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by the 32k piece vocabulary."""
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
