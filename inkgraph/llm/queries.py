@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgraph.llm import quality
+from inkgraph.llm import mixing, quality
 from inkgraph.llm.near_dup import near_duplicate_classes
 from inkgraph.llm.registry import SQL, query, table
 from inkgraph.llm.tokens import token_counts
@@ -43,3 +43,12 @@ SQL["op9_quality_rules"] = quality.SQL
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by the 32k piece vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix_sizes(table(spark, sf_dir, "documents")).select(*mixing.RESULT)
+
+
+SQL["op2_mix_sources"] = mixing.SQL
