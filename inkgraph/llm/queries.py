@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgraph.llm import mixing, quality
+from inkgraph.llm import mixing, pii, quality
 from inkgraph.llm.near_dup import near_duplicate_classes
 from inkgraph.llm.registry import SQL, query, table
 from inkgraph.llm.tokens import token_counts
@@ -52,3 +52,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op2_mix_sources"] = mixing.SQL
+
+
+@query
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.span_digests(pii.pii_spans(table(spark, sf_dir, "documents")))
