@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgraph.llm import mixing, pii, quality
+from inkgraph.llm import language, mixing, pii, quality
 from inkgraph.llm.near_dup import near_duplicate_classes
 from inkgraph.llm.registry import SQL, query, table
 from inkgraph.llm.tokens import token_counts
@@ -58,3 +58,9 @@ SQL["op2_mix_sources"] = mixing.SQL
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.span_digests(pii.pii_spans(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
