@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkgraph.llm import language, mixing, pii, quality
 from inkgraph.llm.near_dup import near_duplicate_classes
 from inkgraph.llm.registry import SQL, query, table
+from inkgraph.llm.token_files import written_and_read
 from inkgraph.llm.tokens import token_counts
 
 #: Folder of the vocabulary files, the same on every machine.
@@ -64,3 +65,9 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as range-coded blocks and read back."""
+    return written_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
