@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgraph.llm import language, mixing, pii, quality
+from inkgraph.llm import chat, language, mixing, pii, quality
 from inkgraph.llm.near_dup import near_duplicate_classes
 from inkgraph.llm.registry import SQL, query, table
 from inkgraph.llm.token_files import written_and_read
@@ -71,3 +71,12 @@ def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as range-coded blocks and read back."""
     return written_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, formatted in windows and read back."""
+    return chat.read_back(chat.chat_windows(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+SQL["op3_chat_windows"] = chat.SQL
