@@ -149,23 +149,23 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), t AS (
-  SELECT *, row_number() OVER o - 1 AS at, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {OVERHEAD} AS tokens,
+  SELECT *, row_number() OVER o - 1 AS nth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {OVERHEAD} AS tokens,
     length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + {_MARKS} AS chars
   FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), p AS (
-  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t
 ), w AS (
   SELECT *, before // {STRIDE} AS win, before >= (before // {STRIDE} + 1) * {STRIDE} - {HISTORY} AS carried FROM p
 ), wins AS (SELECT DISTINCT conv_id, win FROM w),
 shown AS (
   SELECT conv_id, chars FROM w
   UNION ALL SELECT w.conv_id, w.chars FROM w JOIN wins n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.win = w.win + 1 WHERE w.carried
-  UNION ALL SELECT w.conv_id, w.chars FROM w JOIN wins n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.win > 0 WHERE w.at = 0 AND w.role = 'system' AND NOT (n.win = 1 AND w.carried)
+  UNION ALL SELECT w.conv_id, w.chars FROM w JOIN wins n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.win > 0 WHERE w.nth = 0 AND w.role = 'system' AND NOT (n.win = 1 AND w.carried)
 ), sizes AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM shown GROUP BY conv_id)
 SELECT c.conv_id, c.n_turns, c.turns_sha256, c.loss_chars, c.loss_sha256, s.formatted_chars FROM (
-  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256
+    sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256
   FROM w GROUP BY conv_id
 ) c JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 """
