@@ -4,13 +4,14 @@
    set, the low ``bits`` bits of ``perms`` minima packed into 64-bit words, and one key for each
    band of ``rows`` minima.
 2. Documents with equal sets are one class; only one of each class goes on.
-3. Classes that share a band key are candidates. A bucket is never expanded into all pairs: each
-   round links its members to one leader. Candidates whose bit count puts the collision-corrected
-   similarity far under the threshold are left out; the others are confirmed on the full sets,
-   read again from the texts.
-4. Rounds go on, with other leaders, only in buckets whose members are still in more than one
-   component; at last, the pairs across components that remain in a bucket are all tried. So the
-   components are those of all confirmed candidate pairs, whatever the size of a bucket.
+3. Classes that share a band key are candidates. A bucket is never expanded into all pairs. First
+   each member meets one leader, the member with the most bucket mates, which lies near the middle
+   of a group of edited copies. Candidates whose bit count puts the collision-corrected similarity
+   far under the threshold are left out; the others are confirmed on the full sets.
+4. In the buckets that still hold more than one component, every member outside the bucket's
+   largest component is a query: against that component it is tried on full sets, in blocks, and
+   against the other outsiders pair by pair. So every candidate pair is either inside a component
+   or has been tried: the components are exactly those of all confirmed candidates.
 
 Defined cases: null and empty texts (or texts without words) have an empty set and are linked with
 nothing; repeated rows of one doc_id are one node and each keeps a row; rows with a null doc_id
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ from inkgraph.plans.tables import Scratch
 
 PERMS, ROWS, BITS = 128, 4, 4
 SKETCH = "doc_id long, n_shingles long, fp binary, sig array<long>, bands array<long>"
-#: Star rounds before the pairs that remain across components are all tried.
-STAR_ROUNDS = 5
+#: Members and queries of one block of the full-set comparison.
+BLOCK_MEMBERS, BLOCK_QUERIES = 128, 512
 #: Standard deviations of the estimate that a candidate may lie under the threshold.
 SLACK = 5.0
 
@@ -135,6 +137,44 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return pairs.join(a, "a").join(b, "b").select("a", "b", "_ta", "_tb").mapInArrow(check, "a long, b long")
 
 
+def _confirmed_in_blocks(asked: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """A link (a, b) from each document asked to its component ``to``, if any of its members has one.
+
+    Members and queries of a component are both dealt into blocks, and each pair of blocks is one
+    group, so a large component is spread over many tasks and no pair becomes a row.
+    """
+    sizes = asked.groupBy("to").agg(F.count("*").alias("_q")).join(
+        labels.groupBy(F.col("component").alias("to")).agg(F.count("*").alias("_m")), "to"
+    )
+    sizes = sizes.select("to", F.ceil(F.col("_m") / BLOCK_MEMBERS).alias("_mb"), F.ceil(F.col("_q") / BLOCK_QUERIES).alias("_qb"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    members = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("to")).join(sizes, "to").join(texts, "doc_id")
+    members = members.select("to", "doc_id", "text", dealt("_mb").alias("m"), every("_qb").alias("q"))
+    queries = asked.join(sizes, "to").join(texts, "doc_id")
+    queries = queries.select("to", "doc_id", F.col("text").alias("asked"), every("_mb").alias("m"), dealt("_qb").alias("q"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            sets = list(shingle_sets(Texts(pa.array(left["text"], pa.string())), width))
+            sizes_, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), sizes_)
+            for o, own in zip(right["doc_id"], shingle_sets(Texts(pa.array(right["asked"], pa.string())), width), strict=True):
+                if not len(own):
+                    continue
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                common = np.bincount(owner[own[at] == flat], minlength=len(sets))
+                ok = np.flatnonzero((100 * common >= percent * (len(own) + sizes_ - common)) & (sizes_ > 0))
+                if len(ok):
+                    g = left["doc_id"].iloc[ok[0]]
+                    found.append((max(o, g), min(o, g)))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    keys = ["to", "m", "q"]
+    return members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+
+
 def near_duplicate_classes(
     docs: DataFrame, width: int = 5, percent: int = 80, perms: int = PERMS, rows: int = ROWS, bits: int = BITS
 ) -> DataFrame:
@@ -152,57 +192,67 @@ def near_duplicate_classes(
         gone.append(at)
         return table
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return keep(docs.where("doc_id is not null").join(ids.distinct(), "doc_id", "left_semi"), "texts")
+
+    enough = least_same(percent / 100, perms, bits)
+    near = _same_lanes("sig", "sig2", perms, bits) >= enough
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = keep(sketches(docs, width, perms, rows, bits), "sketch")
-    classes = sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    classes = keep(classes, "classes")
+    classes = keep(sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
 
     # One row of each class: its signature and bands are functions of the set, so any row serves.
-    one = sketch.where("fp is not null").select("fp", "doc_id", "sig", "bands").join(classes, "fp").where("doc_id = rep")
-    spread = one.select("doc_id", "sig", F.posexplode("bands").alias("band", "key"))
-    buckets = spread.groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    members = keep(spread.join(buckets.select("band", "key"), ["band", "key"]).select("band", "key", "doc_id", "sig"), "members")
-
-    enough = least_same(percent / 100, perms, bits)
-    near = _same_lanes("sig", "sig2", perms, bits) >= enough
-    label: DataFrame | None = None  # (id, component) of what is linked so far
-    links: DataFrame | None = None
-    lonely = members.select("band", "key", "doc_id", "sig", F.col("doc_id").alias("comp"))
-    for turn in range(STAR_ROUNDS + 1):
-        here = lonely
-        if label is not None:
-            comp = F.coalesce("component", "doc_id").alias("comp")
-            here = members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", "sig", comp)
-            split = here.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            here = keep(here.join(split.select("band", "key"), ["band", "key"]), "split")
-            if here.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", "key", F.lit(turn))
-            lead = here.groupBy("band", "key").agg(F.min_by(F.struct("doc_id", "sig", "comp"), F.struct(order, "doc_id")).alias("l"))
-            met = here.join(lead, ["band", "key"]).select("doc_id", "comp", "sig", F.col("l.doc_id").alias("doc2"), F.col("l.comp").alias("comp2"), F.col("l.sig").alias("sig2"))
-            met = met.where("comp != comp2").where(near)
-        else:
-            other = here.select("band", "key", F.col("doc_id").alias("doc2"), F.col("sig").alias("sig2"), F.col("comp").alias("comp2"))
-            met = here.join(other, (here.band == other.band) & (here.key == other.key) & (F.col("comp") < F.col("comp2")) & near)
-        pairs = keep(met.select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = keep(docs.where("doc_id is not null").join(ids, "doc_id", "left_semi"), "texts")
-        found = keep(_confirmed(pairs, texts, width, percent), "links")
-        scratch.drop(gone.pop(-2))  # the texts
-        if found.isEmpty():
-            if turn == STAR_ROUNDS:
-                break
-            if turn:
-                continue
-        links = found if links is None else links.unionAll(found)
-        label = keep(connected_components(links, scratch), "labels")
-
-    got = sketch.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
-    own = F.coalesce("rep", "doc_id")
-    if label is not None:
-        got = got.join(label, F.col("rep") == F.col("id"), "left")
-        own = F.coalesce("component", "rep", "doc_id")
-    result, at = scratch.keep_at(got.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept")), "result")
+    one = sketch.where("fp is not null").join(classes, "fp").where("doc_id = rep")
+    keyed = one.select("doc_id", F.explode("bands").alias("key"))
+    mates = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = keep(keyed.join(mates, "key"), "members")
+    sigs = keep(one.select("doc_id", "sig").join(members, "doc_id", "left_semi"), "sigs")
+    sig2 = sigs.withColumnsRenamed({"doc_id": "doc2", "sig": "sig2"})
+
+    # Each member with its bucket's leader.
+    weight = members.groupBy("doc_id").agg(F.sum("n").alias("w"))
+    lead = members.join(weight, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("w", -F.col("doc_id"))).alias("doc2"))
+    met = members.join(lead, "key").where("doc_id != doc2").select("doc_id", "doc2").distinct()
+    met = met.join(sigs, "doc_id").join(sig2, "doc2").where(near)
+    pairs = keep(met.select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct(), "pairs")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    links = keep(_confirmed(pairs, texts, width, percent), "links")
+    labels = keep(connected_components(links, scratch), "labels")
+
+    # The buckets that still hold several components.
+    comp = F.coalesce("component", "doc_id").alias("comp")
+    here = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", comp)
+    largest = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.max_by("comp", F.struct("c", -F.col("comp"))).alias("to"), F.count("*").alias("k")
+    )
+    open_ = keep(here.join(largest.where("k > 1").select("key", "to"), "key").join(sigs, "doc_id"), "open")
+    outside = open_.where("comp != to")
+    inside = open_.where("comp = to").select(F.col("key").alias("key2"), F.col("sig").alias("sig2"))
+    asked = keep(outside.join(inside, (F.col("key") == F.col("key2")) & near, "left_semi").select("doc_id", "to").distinct(), "asked")
+    other = outside.select(F.col("key").alias("key2"), F.col("doc_id").alias("doc2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"))
+    across = outside.join(other, (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & near).select("doc_id", "doc2")
+    # A component that is one document is asked directly.
+    grown = labels.select(F.col("component").alias("to")).distinct()
+    across = across.unionAll(asked.join(grown, "to", "left_anti").select("doc_id", F.col("to").alias("doc2")))
+    pairs = keep(across.select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct(), "pairs")
+    pairs = pairs.join(links, ["a", "b"], "left_anti")
+    asked = asked.join(grown, "to", "left_semi")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(asked.select("doc_id"))
+    ids = ids.unionAll(labels.join(asked, F.col("component") == F.col("to"), "left_semi").select("id"))
+    texts = texts_of(ids)
+    more = _confirmed(pairs, texts, width, percent).unionAll(_confirmed_in_blocks(asked, labels, texts, width, percent))
+    more = keep(more, "links")
+    if not more.isEmpty():
+        # Components of components: the ends of the new links by their labels so far.
+        la, lb = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        joined = more.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        above = keep(connected_components(joined, scratch), "above")
+        named = labels.join(above.withColumnsRenamed({"id": "_i", "component": "_c"}), F.col("component") == F.col("_i"), "left")
+        named = named.select("id", F.coalesce("_c", "component").alias("component"))
+        labels = keep(named.unionAll(above.join(labels, "id", "left_anti").select("id", "component")), "labels")
+
+    got = sketch.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").join(labels, F.col("rep") == F.col("id"), "left")
+    own = F.coalesce("component", "rep", "doc_id")
+    result, _ = scratch.keep_at(got.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept")), "result")
     scratch.drop(*gone)
     return result
