@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACES)] = False
+#: Letters and digits of ASCII and all bytes of other characters.
+_IS_ALNUM = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 #: Bytes whose word hashes are worked out at once.
 CHUNK = 1 << 20
@@ -71,12 +73,13 @@ class Texts:
             yield lo, hi
             lo = hi
 
-    def words(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, lo: int, hi: int, alnum: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words of documents lo..hi (bytes of ``data``), and for each
-        document the number of the first of its words, n + 1 numbers."""
+        document the number of the first of its words, n + 1 numbers. With ``alnum``, words are
+        runs of letters and digits: ASCII punctuation parts them too."""
         off = self.off[lo : hi + 1]
         inside = np.zeros(off[-1] - off[0] + 2, bool)
-        inside[1:-1] = _IS_WORD[self.data[off[0] : off[-1]]]
+        inside[1:-1] = (_IS_ALNUM if alnum else _IS_WORD)[self.data[off[0] : off[-1]]]
         at = off - off[0]
         full = at[1:] > at[:-1]
         begins = inside[1:-1] & ~inside[:-2]
@@ -88,8 +91,9 @@ class Texts:
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         return starts + off[0], ends + off[0], np.searchsorted(starts, at)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-        """A 64-bit hash of each word; with ``lower``, A-Z count as a-z."""
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True, spaced: bool = True) -> np.ndarray:
+        """A 64-bit hash of each word; with ``lower``, A-Z count as a-z. ``spaced`` says that only
+        white space lies between the words."""
         table, out = (_BYTE_LOWER if lower else _BYTE), np.empty(len(starts), np.uint64)
         i = 0
         while i < len(starts):
@@ -103,7 +107,16 @@ class Texts:
                 out[i] = h
             else:
                 at = starts[i:j] - base
-                out[i:j] = np.add.reduceat(table[self.data[base:stop]] * _POW[: stop - base], at) * _INV[at]
+                term = table[self.data[base:stop]] * _POW[: stop - base]
+                if not spaced:  # other bytes than white space lie between the words
+                    np.cumsum(term, out=term)
+                    whole = term[ends[i:j] - base - 1].copy()
+                    whole[1:] -= term[at[1:] - 1]
+                    if at[0]:
+                        whole[0] -= term[at[0] - 1]
+                    out[i:j] = whole * _INV[at]
+                else:
+                    out[i:j] = np.add.reduceat(term, at) * _INV[at]
             i = j
         return mix(out)
 
