@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgraph.llm import chat, decontaminate, language, mixing, pii, quality
+from inkgraph.llm import chat, decontaminate, language, licenses, mixing, pii, quality
 from inkgraph.llm.near_dup import near_duplicate_classes
 from inkgraph.llm.registry import SQL, query, table
 from inkgraph.llm.token_files import written_and_read
@@ -88,3 +88,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Which documents hold passages of the benchmark."""
     got = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.withColumn("n_items", F.size("item_ids").cast("long"))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op10_license_scan"] = licenses.SQL
