@@ -206,14 +206,14 @@ def near_duplicate_classes(
     keyed = one.select("doc_id", F.explode("bands").alias("key"))
     mates = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = keep(keyed.join(mates, "key"), "members")
-    sigs = keep(one.select("doc_id", "sig").join(members, "doc_id", "left_semi"), "sigs")
-    sig2 = sigs.withColumnsRenamed({"doc_id": "doc2", "sig": "sig2"})
+    sigs = keep(one.select("doc_id", "sig", "bands").join(members, "doc_id", "left_semi"), "sigs")
+    sig2 = sigs.select(F.col("doc_id").alias("doc2"), F.col("sig").alias("sig2"))
 
     # Each member with its bucket's leader.
     weight = members.groupBy("doc_id").agg(F.sum("n").alias("w"))
     lead = members.join(weight, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("w", -F.col("doc_id"))).alias("doc2"))
     met = members.join(lead, "key").where("doc_id != doc2").select("doc_id", "doc2").distinct()
-    met = met.join(sigs, "doc_id").join(sig2, "doc2").where(near)
+    met = met.join(sigs.drop("bands"), "doc_id").join(sig2, "doc2").where(near)
     pairs = keep(met.select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct(), "pairs")
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     links = keep(_confirmed(pairs, texts, width, percent), "links")
@@ -229,8 +229,10 @@ def near_duplicate_classes(
     outside = open_.where("comp != to")
     inside = open_.where("comp = to").select(F.col("key").alias("key2"), F.col("sig").alias("sig2"))
     asked = keep(outside.join(inside, (F.col("key") == F.col("key2")) & near, "left_semi").select("doc_id", "to").distinct(), "asked")
-    other = outside.select(F.col("key").alias("key2"), F.col("doc_id").alias("doc2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"))
-    across = outside.join(other, (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & near).select("doc_id", "doc2")
+    other = outside.select(F.col("key").alias("key2"), F.col("doc_id").alias("doc2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"), F.col("bands").alias("bands2"))
+    # A pair that meets in several buckets is made by the least key alone.
+    once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("key")
+    across = outside.join(other, (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & near & once).select("doc_id", "doc2")
     # A component that is one document is asked directly.
     grown = labels.select(F.col("component").alias("to")).distinct()
     across = across.unionAll(asked.join(grown, "to", "left_anti").select("doc_id", F.col("to").alias("doc2")))
