@@ -1 +1 @@
-
+"""Operators on notes and their link graph."""

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgraph.plans.tables import Scratch
+
 
 def prefix_sums(
     rows: DataFrame, group: list[str], block: str, order: list[Column], value: str, out: str, index: str | None = None
@@ -37,3 +39,20 @@ def prefix_sums(
     if index:
         got = got.withColumn(index, F.col("_first") + F.col("_at"))
     return got.drop("_base", "_first", "_in", "_at", *[f"_k{i}" for i in range(len(keys))])
+
+
+def numbered(rows: DataFrame, order: str, out: str, scratch: Scratch) -> DataFrame:
+    """``rows`` plus ``out``: 0, 1, ... in the order of a column, without bringing rows together.
+
+    Rows are sorted by range and written with their place in their partition; only one row a
+    partition is summed up.
+    """
+    at = F.monotonically_increasing_id()
+    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", at)
+    placed = scratch.keep(placed, "numbered")
+    part, place = F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(part).agg(F.count("*").alias("_n"))
+    counts = counts.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    joined = placed.withColumn("_p", part).join(counts, F.col("_p") == F.col("_q"))
+    return joined.withColumn(out, (F.col("_base") + place).cast("long")).drop("_m", "_p", "_q", "_base")
