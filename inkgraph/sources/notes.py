@@ -27,22 +27,38 @@ def workspace_root(start: str) -> Path | None:
     return next((p for p in (here, *here.parents) if (p / MARKER).is_dir()), None)
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
+def _empty_files(spark: SparkSession, base: str) -> list[tuple[str, int]]:
+    """(path, time in ms) of the ``*.md`` files of no bytes, which Spark's file sources pass over."""
+    sc = spark.sparkContext
+    top = sc._jvm.org.apache.hadoop.fs.Path(base)
+    found, files = [], top.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(top, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0 and (path := f.getPath().toString()).endswith(".md"):
+            found.append((path, f.getModificationTime()))
+    return found
+
+
+def read_files(spark: SparkSession, root: str, empty: bool = True) -> DataFrame:
     """(path, mtime, length, content) of all ``*.md`` files under ``root``, paths relative to it.
 
-    The file source leaves out names that begin with ``_`` or ``.`` at every depth.
+    ``empty`` also lists the folder from the driver to find files of no bytes; they are notes too.
+
+    The file source leaves out names that begin with ``_`` or ``.`` at every depth. A filter on
+    ``length`` is pushed into the source, so files it rejects are not read.
     """
     base = root.rstrip("/")
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(base, wholetext=True)
-    # File names come as URIs; a plus-sign in them stands for itself.
-    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    plain = base.split("://", 1)[-1] if "://" in base else base
-    plain = plain if plain.startswith("/") else "/" + plain.split("/", 1)[-1]
+    plain = base.split("://", 1)[-1]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base)
+    if empty and (found := _empty_files(spark, base)):
+        none = spark.createDataFrame(found, "path string, ms long").select("path", F.timestamp_millis("ms").alias("modificationTime"))
+        none = none.where(~F.substring_index("path", plain, -1).rlike(r"/[._]"))
+        raw = raw.unionByName(none.withColumn("length", F.lit(0).cast("long")).withColumn("content", F.lit(b"")))
     files = raw.select(
-        F.substring_index(decoded, plain + "/", -1).alias("path"),
-        F.col("_metadata.file_modification_time").alias("mtime"),
-        F.col("_metadata.file_size").alias("length"),
-        F.col("value").alias("content"),
+        F.substring_index("path", plain + "/", -1).alias("path"),
+        F.col("modificationTime").alias("mtime"),
+        "length",
+        F.col("content").cast("string").alias("content"),
     )
     return files.where(~F.col("path").startswith("."))
 
