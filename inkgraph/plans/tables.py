@@ -26,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores added until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 class Scratch:
     """Tables written for one run of an operator; ``drop`` removes those no longer read."""
 
