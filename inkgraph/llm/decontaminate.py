@@ -4,10 +4,11 @@
    counts those of the benchmark's vocabulary; a word weighs the logarithm of its rarity.
 2. A randomised SVD of the TF-IDF matrix of the benchmark passages (two passes of B'(B X) with the
    passages spread over the cluster, orthonormalised between) gives each word a latent vector.
-3. A second pass over all documents slides windows over each text. A window whose weight cannot
-   cover ``COVER`` of any passage is passed over (an upper bound, so nothing is lost by it); the
-   others get a latent vector and their cosines with all passages, in blocks. Candidates have a
-   cosine of at least ``COSINE``.
+3. A second pass over all documents slides windows over each text, half their width at a time. A
+   window whose weight cannot cover ``COVER`` of any passage is passed over (an upper bound, so
+   nothing is lost by it); the others get a latent vector and their cosines with all passages, in
+   blocks. Candidates have a cosine of at least ``COSINE`` and share words of at least ``COVER`` of the
+   passage's weight.
 4. Around a candidate window, the longest common subsequence of words with the passage decides:
    contaminated from ``VERBATIM`` of the passage on, and from ``PARAPHRASE`` on if the passage's answer
    (its last sentence) is there too, again by common subsequence, at ``ANSWER``.
@@ -197,51 +198,94 @@ def build_index(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Index:
 class Search:
     """Finds passages in batches of texts."""
 
+    #: Most entries of the table of passages and words; beyond it, membership is looked up by search.
+    TABLE = 1 << 27
+
     def __init__(self, index: Index):
         self.index = index
         self.number = Lookup(index.known)
         self.square = np.append(index.weight**2, 0.0)
-        self.vectors = np.concatenate([index.vectors, np.zeros((1, index.vectors.shape[1]), np.float32)])
         self.levels = index.windows() if len(index.items) else []
+        owner = np.repeat(np.arange(len(index.items)), [len(x) for x in index.items]).astype(np.int64)
+        words = self.number(np.concatenate(index.items)) if len(index.items) else np.zeros(0, np.int64)
+        self.base = len(index.known) + 1
+        self.has = None
+        if len(index.items) * self.base <= self.TABLE:
+            self.has = np.zeros((len(index.items), self.base), bool)
+            self.has[owner, words] = True
+        else:
+            self.pairs = np.unique(owner * self.base + words)
+
+    def _member(self, items: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Whether each passage has each of its row of words (-1: none)."""
+        if self.has is not None:
+            return self.has[items[:, None], words]
+        key = items[:, None] * self.base + words
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return (self.pairs[at] == key) & (words >= 0)
 
     def __call__(self, texts: Texts) -> dict[int, dict[int, float]]:
         """For each document (number in the batch) found: passages (number) with their share of words."""
         out: dict[int, dict[int, float]] = {}
         if not len(self.index.known):
             return out
-        for lo, hi in texts.slices():
+        for lo, hi in texts.slices(1 << 20):
             starts, ends, first = texts.words(lo, hi, alnum=True)
             if not len(starts):
                 continue
             h = texts.hashes(starts, ends, spaced=False)
             at = self.number(h)
-            sums = np.concatenate([[0.0], np.cumsum(self.square[at])])
+            known = np.flatnonzero(at >= 0)
             for wide, items in self.levels:
                 if len(items):
-                    self._level(out, lo, h, at, sums, first, wide, items)
+                    self._level(out, lo, h, at, known, first, wide, items)
         return out
 
-    def _level(self, out: dict, lo: int, h: np.ndarray, at: np.ndarray, sums: np.ndarray, first: np.ndarray, wide: int, items: np.ndarray) -> None:
-        index, step = self.index, wide // 4
+    def _level(self, out: dict, lo: int, h: np.ndarray, at: np.ndarray, known: np.ndarray, first: np.ndarray, wide: int, items: np.ndarray) -> None:
+        """Windows are two neighbouring blocks of half their width, so each word is summed once."""
+        index, step = self.index, wide // 2
         size = np.diff(first)
-        many = np.where(size > 0, 1 + -(-np.maximum(size - wide, 0) // step), 0)
-        doc = np.repeat(np.arange(len(size)), many)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-        a = first[doc] + nth * step
-        b = np.minimum(a + wide, first[doc + 1])
+        blocks = -(-size // step)
+        doc = np.repeat(np.arange(len(size)), blocks)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = first[doc] + nth * step
+        cut = np.searchsorted(known, np.append(begin, first[-1]))
+        full = np.flatnonzero(cut[1:] > cut[:-1])
+        if not len(full):
+            return
+        latent = np.zeros((len(begin), index.vectors.shape[1]), np.float32)
+        energy = np.zeros(len(begin))
+        words = at[known]
+        for a in range(0, len(full), 4096):  # blocks without known words lie between; they stay zero
+            f = full[a : a + 4096]
+            part = words[cut[f[0]] : cut[f[-1] + 1]]
+            latent[f] = np.add.reduceat(index.vectors[part], cut[f] - cut[f[0]], axis=0)
+            energy[f] = np.add.reduceat(self.square[part], cut[f] - cut[f[0]])
+        more = np.append(doc[1:] == doc[:-1], False)  # whether a block has a next one
+        head = np.flatnonzero(more | (nth == 0))
+        joined = more[head].astype(np.float32)
+        after = np.minimum(head + 1, len(begin) - 1)
         # The weight shared with a passage is at most that of the window's known words.
-        full = np.flatnonzero(sums[b] - sums[a] >= COVER * index.energy[items].min() - 1e-9)
-        for part in range(0, len(full), 512):
-            w = full[part : part + 512]
-            place = a[w, None] + np.arange(wide)
-            words = np.where(place < b[w, None], at[np.minimum(place, len(at) - 1)], -1)
-            latent = self.vectors[words].sum(1)
-            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        some = energy[head] + joined * energy[after] >= COVER * index.energy[items].min() - 1e-9
+        head, joined, after = head[some], joined[some], after[some]
+        for a in range(0, len(head), 4096):
+            w, j, z = head[a : a + 4096], joined[a : a + 4096], after[a : a + 4096]
+            v = latent[w] + j[:, None] * latent[z]
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            place = begin[w, None] + np.arange(wide)
+            ids = np.where(place < first[doc[w] + 1][:, None], at[np.minimum(place, len(at) - 1)], -1)
             for block in range(0, len(items), 4096):
                 here = items[block : block + 4096]
-                near = latent @ index.latent[here].T >= COSINE
-                for i, j in np.argwhere(near):
-                    self._confirm(out, lo + int(doc[w[i]]), int(here[j]), h, int(a[w[i]]), int(b[w[i]]), int(first[doc[w[i]]]), int(first[doc[w[i]] + 1]))
+                i, k = np.nonzero(v @ index.latent[here].T >= COSINE)
+                for c in range(0, len(i), 1 << 16):
+                    self._candidates(out, lo, h, first, doc[w], begin[w], ids, wide, i[c : c + (1 << 16)], here[k[c : c + (1 << 16)]])
+
+    def _candidates(self, out: dict, lo: int, h: np.ndarray, first: np.ndarray, doc: np.ndarray, begin: np.ndarray, ids: np.ndarray, wide: int, i: np.ndarray, item: np.ndarray) -> None:
+        """Of windows near a passage, those that cover enough of its weight are held against it."""
+        shared = (self._member(item, ids[i]) * self.square[ids[i]]).sum(1)
+        for n in np.flatnonzero(shared >= COVER * self.index.energy[item] - 1e-9):
+            d, a = int(doc[i[n]]), int(begin[i[n]])
+            self._confirm(out, lo + d, int(item[n]), h, a, min(a + wide, int(first[d + 1])), int(first[d]), int(first[d + 1]))
 
     def _confirm(self, out: dict, doc: int, item: int, h: np.ndarray, a: int, b: int, lo: int, hi: int) -> None:
         words = self.index.items[item]
