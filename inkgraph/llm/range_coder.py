@@ -22,11 +22,11 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 MAGIC = b"IKR1"
 U = np.uint64
 TOP, BOT = U(1 << 48), U(1 << 32)
-LANES = 4096
+LANES = 8192
 MIN_STEPS = 64
 REFRESH = 4  # steps between two refreshes of the order-0 frequencies
 STEP = 32  # added to an id's frequency each time it is seen
@@ -44,11 +44,12 @@ def _layout(n: int) -> tuple[int, int]:
 
 
 class _Models:
+    """A prediction is one 32-bit value, the id times 16 plus its successes (1 to 15); 0 is none."""
+
     def __init__(self, vocabulary: int, lanes: int):
         self.v = vocabulary
         self.counts, self.steps = np.ones(vocabulary, np.int64), 0
-        self.next1, self.sure1 = np.full(vocabulary, -1, np.int32), np.zeros(vocabulary, np.int64)
-        self.next2, self.sure2 = np.full(1 << HASH_BITS, -1, np.int32), np.zeros(1 << HASH_BITS, np.int64)
+        self.after1, self.after2 = np.zeros(vocabulary, np.int32), np.zeros(1 << HASH_BITS, np.int32)
         self.hits2, self.seen2 = np.full(16 * 17, 0.4), np.ones(16 * 17)
         self.hits1, self.seen1 = np.full(256, 0.2), np.ones(256)
         self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -66,34 +67,46 @@ class _Models:
         begin = self.cum[x]
         return begin.astype(U), (self.cum[x + 1] - begin).astype(U)
 
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids in whose order-0 intervals the values fall."""
+        order = np.argsort(v)
+        out = np.empty(len(v), np.int64)
+        out[order] = np.searchsorted(self.cum, v[order], "right") - 1
+        return out
+
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first n lanes: both predictions and their shares of ONE."""
         a, b = self.a[:n], self.b[:n]
         self.h = ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 7) & ((1 << HASH_BITS) - 1)
-        p2, p1 = self.next2[self.h], self.next1[b]
-        c2, c1 = self.sure2[self.h], self.sure1[b]
+        self.e2, self.e1 = self.after2[self.h], self.after1[b]
+        p2, p1, c2, c1 = self.e2 >> 4, self.e1 >> 4, self.e2 & 15, self.e1 & 15
         same = p1 == p2
         self.k2 = c2 * 17 + (c1 + 1) * same
         self.k1 = c1 * 16 + c2
-        f2 = np.minimum(self.hits2 / self.seen2 * ONE, ONE - LEAST_REST).astype(np.int64)[self.k2]
-        f2[p2 < 0] = 0
-        f1 = ((self.hits1 / self.seen1 * ONE).astype(np.int64)[self.k1] * (ONE - LEAST_REST - f2)) >> 16
-        f1[(p1 < 0) | same] = 0
-        self.p2, self.p1 = p2, p1
+        t2 = np.minimum(self.hits2 / self.seen2 * ONE, ONE - LEAST_REST).astype(np.int32)
+        t2[:17] = 0  # no prediction
+        t1 = (self.hits1 / self.seen1 * ONE).astype(np.int64)
+        t1[:16] = 0
+        f2 = t2[self.k2]
+        f1 = (t1[self.k1] * (ONE - LEAST_REST - f2)) >> 16
+        f1 *= ~same
+        self.p2, self.p1, self.same = p2, p1, same
         return p2, p1, f2, f1
 
     def learn(self, x: np.ndarray) -> None:
         n = len(x)
         right2, right1 = x == self.p2, x == self.p1
-        asked2 = self.p2 >= 0
-        self.seen2 += np.bincount(self.k2[asked2], minlength=16 * 17)
-        self.hits2 += np.bincount(self.k2[right2], minlength=16 * 17)
-        asked1 = (self.p1 >= 0) & (self.p1 != self.p2) & ~right2
-        self.seen1 += np.bincount(self.k1[asked1], minlength=256)
-        self.hits1 += np.bincount(self.k1[asked1 & right1], minlength=256)
+        n2 = np.bincount(self.k2 * 2 + right2, minlength=2 * 16 * 17).reshape(-1, 2)
+        self.seen2 += n2.sum(1)
+        self.hits2 += n2[:, 1]
+        open_ = np.flatnonzero(~(self.same | right2))
+        n1 = np.bincount(self.k1[open_] * 2 + right1[open_], minlength=2 * 256).reshape(-1, 2)
+        self.seen1 += n1.sum(1)
+        self.hits1 += n1[:, 1]
+        new = (x.astype(np.int32) << 4) | 1
         # Of lanes that meet in one context, the last in order is the one remembered.
-        self._remember(self.next2, self.sure2, self.h, x, right2)
-        self._remember(self.next1, self.sure1, self.b[:n], x, right1)
+        self.after2[self.h] = self._updated(self.e2, right2, new)
+        self.after1[self.b[:n]] = self._updated(self.e1, right1, new)
         np.add.at(self.counts, x, STEP)
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps < REFRESH:
@@ -102,11 +115,11 @@ class _Models:
         self.b[:n] = x
 
     @staticmethod
-    def _remember(nxt: np.ndarray, sure: np.ndarray, at: np.ndarray, x: np.ndarray, right: np.ndarray) -> None:
-        had = sure[at]
-        replace = ~right & (had == 0)
-        sure[at] = np.where(right, np.minimum(had + 1, 15), had >> 1)
-        nxt[at[replace]] = x[replace]
+    def _updated(e: np.ndarray, right: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """One success more; or half of them, and the new id where none is left."""
+        c = e & 15
+        right = right & (c > 0)
+        return np.where(right, e + (c < 15), np.where(c > 1, e - c + (c >> 1), new))
 
 
 def _compress(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -185,7 +198,7 @@ def _expand(data: bytes, n_ids: int, vocabulary: int) -> np.ndarray:
         j = np.flatnonzero(rest)
         r = g[j] // model.total
         v = np.minimum((c[j] - lo[j]) // r, model.total - U(1)).astype(np.int32)
-        xj = np.searchsorted(model.cum, v, "right") - 1
+        xj = model.find(v)
         x[j] = xj
         begin, wide = model.interval(xj)
         lo[j] += r * begin

@@ -39,6 +39,8 @@ _BYTE[list(SPACES)] = 0
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
+_BYTE_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * U(0xA0761D6478BD642F))
+_BYTE_OTHER[list(SPACES)] = 0
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -56,6 +58,7 @@ class Texts:
     """The texts of one batch: ``data`` (bytes) and ``off`` (n + 1 offsets); null texts are empty."""
 
     def __init__(self, column: pa.Array):
+        pa.default_memory_pool().release_unused()  # of the batches before
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -65,7 +68,7 @@ class Texts:
         raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         self.data, self.off = raw[off[0] : off[-1]], off - off[0]
 
-    def slices(self, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    def slices(self, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         """Ranges of documents of about ``most`` bytes; a longer document is a range of its own."""
         lo = 0
         while lo < self.n:
@@ -91,10 +94,11 @@ class Texts:
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         return starts + off[0], ends + off[0], np.searchsorted(starts, at)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True, spaced: bool = True) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True, spaced: bool = True, other: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; with ``lower``, A-Z count as a-z. ``spaced`` says that only
-        white space lies between the words."""
-        table, out = (_BYTE_LOWER if lower else _BYTE), np.empty(len(starts), np.uint64)
+        white space lies between the words. ``other`` gives a second, independent hash."""
+        table = _BYTE_OTHER if other else _BYTE_LOWER if lower else _BYTE
+        out = np.empty(len(starts), np.uint64)
         i = 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))

@@ -11,8 +11,8 @@ Reading: each block is decoded by itself; where a document starts in the whole c
 prefix sums over n_ids; the pieces of a document that was cut are joined by combining checksums.
 
 Encoding goes through distinct words: the vocabularies read here never let a token lie across
-ASCII white space, so each distinct word of a slice of text is encoded once by the library and the
-ids of a text are gathered from its words.
+ASCII white space, so each distinct word is encoded once by the library and the ids of a text are
+gathered from its words. A worker keeps words by two independent 64-bit hashes.
 
 Defined cases: a null or empty text is a document with the end id only; null doc_ids come first,
 rows of equal doc_id are ordered by text, an empty table writes no block; other columns are ignored.
@@ -27,18 +27,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkgraph.llm.range_coder import BLOCK, decode_block, encode_block
+from inkgraph.llm.textbuf import Texts, U
 from inkgraph.plans.tables import Scratch
 
 END = 1
-#: Distinct words kept by a worker; then it starts afresh.
-WORDS_KEPT = 1_000_000
-SLICE_BYTES = 8 << 20
+#: Twice the distinct words a worker keeps; when they are full it starts afresh.
+SLOTS = 1 << 22
+WORDS_AT_ONCE = 1 << 18
+SLICE_BYTES = 4 << 20
 FILE = "part int, block int, n_ids long, payload binary"
 DOCS = "part int, block int, place long, doc_id long, pieces int, n long, crc long"
 
@@ -68,11 +69,12 @@ class WordEncoder:
         # A special string with white space in it, or one that takes in the space beside it, would
         # be found across words; then texts are encoded whole.
         self.by_word = not any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added) and self._drops_space()
-        # Words of Latin letters are lower-cased here, as the normaliser does (probed on load).
         # Lower-case letters need no normalising: their bytes can go straight to the library's merges.
         self.model = self.library.model
         self.plain = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
         self.by_model = all([t.id for t in self.model.tokenize(_byte_letters(w))] == self._ids(w) for w in ("a", "the", "straße", "élève", "ñandúes", "zyxwvutsrq"))
+        self.by_model = self.by_model and self._ids("Thé.,") == self._ids("thé") + self._ids(".,")
+        self.tails: dict[str, list[int]] = {"": []}
         self._forget()
 
     def _drops_space(self) -> bool:
@@ -84,68 +86,101 @@ class WordEncoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.keys, self.checks = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.value = np.full(SLOTS, -1, np.int32)
         self.flat, self.first, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
 
     def _code(self, words: list[str]) -> list[list[int]]:
-        if not self.by_model:
-            return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        plain, merges = self.plain, self.model.tokenize
-        out = [[t.id for t in merges(w if w.isascii() else _byte_letters(w))] if plain(w) else None for w in words]
-        other = [w for w, c in zip(words, out, strict=True) if c is None]
-        coded = iter([e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)])
-        return [next(coded) if c is None else c for c in out]
-
-    def _number(self, words: list[str]) -> np.ndarray:
-        """The number under which each word's ids are kept."""
-        known = self.known
-        out = [known.get(w, -1) for w in words]
-        new = list(dict.fromkeys(w for w, k in zip(words, out, strict=True) if k < 0))
-        if new:
-            coded = self._code(new)
-            sizes = np.array([len(c) for c in coded])
-            need = self.used + int(sizes.sum())
-            if need > len(self.flat):
-                self.flat = np.resize(self.flat, max(need, 2 * len(self.flat)))
-            if self.n + len(new) + 1 > len(self.first):
-                self.first = np.resize(self.first, max(self.n + len(new) + 1, 2 * len(self.first)))
-            self.flat[self.used : need] = [i for c in coded for i in c]
-            self.first[self.n + 1 : self.n + 1 + len(new)] = self.used + np.cumsum(sizes)
-            for w in new:
-                known[w] = self.n
-                self.n += 1
-            self.used = need
-            out = [known[w] for w in words]
-        return np.array(out, np.int64)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, n + 1 offsets) of non-null texts, the end id after each."""
-        if not self.by_word:
-            coded = [e.ids + [END] for e in self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-            return np.array([i for c in coded for i in c], np.int32), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
-        if len(self.known) > WORDS_KEPT:
-            self._forget()
-        split = pc.ascii_split_whitespace(texts)
-        words = split.flatten().dictionary_encode()
-        stems, tails = [], []
-        for w in words.dictionary.to_pylist():
-            # Case is lost in these letters anyway, and a tail of points and commas is encoded by itself.
+        """The ids of words. Words of Latin letters, but for points and commas after them, go
+        straight to the library's merges; case is lost in them anyway, as in all."""
+        out: list = [None] * len(words)
+        rest = []
+        for i, w in enumerate(words):
             stem = w.rstrip(".,")
-            if len(stem) < len(w) and self.plain(low := stem.lower()):
-                stems.append(low)
-                tails.append(w[len(stem) :])
+            if self.by_model and self.plain(low := stem.lower()):
+                out[i] = [t.id for t in self.model.tokenize(low if low.isascii() else _byte_letters(low))] + self._tail(w[len(stem) :])
             else:
-                stems.append(low if self.plain(low := w.lower()) else w)
-                tails.append("")
-        stem, tail = self._number(stems), self._number(tails)
-        at = words.indices.to_numpy(zero_copy_only=False)
-        parts = np.stack([stem[at], tail[at]], axis=1).reshape(-1)
-        sizes = self.first[parts + 1] - self.first[parts]
-        per_word = sizes.reshape(-1, 2).sum(1)
-        off = np.concatenate([[0], np.cumsum(per_word)])[split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()]
-        ids = self.flat[_ranges(self.first[parts], sizes)]
+                rest.append(i)
+        if rest:
+            for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
+
+    def _tail(self, text: str) -> list[int]:
+        if text not in self.tails:
+            ids = self._ids(text)
+            if len(text) > 8:
+                return ids
+            self.tails[text] = ids
+        return self.tails[text]
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The numbers of words by two hashes, -1 for new ones."""
+        out, i = np.full(len(h), -1, np.int32), np.arange(len(h))
+        slot = (h & U(SLOTS - 1)).astype(np.int64)
+        while len(i):
+            v, here = self.value[slot], (self.keys[slot] == h[i]) & (self.checks[slot] == check[i])
+            out[i[here]] = v[here]
+            go = ~here & (v >= 0)
+            i, slot = i[go], (slot[go] + 1) & (SLOTS - 1)
+        return out
+
+    def _put(self, h: np.ndarray, check: np.ndarray, number: np.ndarray) -> None:
+        slot = (h & U(SLOTS - 1)).astype(np.int64)
+        i = np.arange(len(h))
+        while len(i):
+            free = np.flatnonzero(self.value[slot] < 0)
+            at, one = np.unique(slot[free], return_index=True)  # one of those that want a slot gets it
+            got = free[one]
+            self.value[at], self.keys[at], self.checks[at] = number[i[got]], h[i[got]], check[i[got]]
+            left = np.ones(len(i), bool)
+            left[got] = False
+            i, slot = i[left], (slot[left] + 1) & (SLOTS - 1)
+
+    def _learn(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
+        coded = self._code([texts.data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        sizes = np.array([len(c) for c in coded], np.int64)
+        need = self.used + int(sizes.sum())
+        if need > len(self.flat):
+            self.flat = np.resize(self.flat, max(need, 2 * len(self.flat)))
+        if self.n + len(coded) + 1 > len(self.first):
+            self.first = np.resize(self.first, max(self.n + len(coded) + 1, 2 * len(self.first)))
+        self.flat[self.used : need] = np.fromiter((i for c in coded for i in c), np.int32, need - self.used)
+        self.first[self.n + 1 : self.n + 1 + len(coded)] = self.used + np.cumsum(sizes)
+        self._put(h, check, np.arange(self.n, self.n + len(coded), dtype=np.int32))
+        self.n += len(coded)
+        self.used = need
+
+    def encode(self, texts: Texts, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, n + 1 offsets) of the documents lo..hi, the end id after each."""
+        if not self.by_word:
+            whole = [texts.data[texts.off[d] : texts.off[d + 1]].tobytes().decode() for d in range(lo, hi)]
+            coded = [e.ids + [END] for e in self.library.encode_batch(whole, add_special_tokens=False)]
+            return np.array([i for c in coded for i in c], np.int32), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+        starts, ends, first = texts.words(lo, hi)
+        number = np.zeros(len(starts), np.int32)
+        for a in range(0, len(starts), WORDS_AT_ONCE):
+            s, e = starts[a : a + WORDS_AT_ONCE], ends[a : a + WORDS_AT_ONCE]
+            h, check = texts.hashes(s, e, lower=False), texts.hashes(s, e, other=True)
+            n = self._find(h, check)
+            new = np.flatnonzero(n < 0)
+            if len(new):
+                if self.n + len(new) > SLOTS // 2:
+                    # Numbers given in this call must stay, so the words so far are coded anew.
+                    self._forget()
+                    if a:
+                        return self.encode(texts, lo, hi)
+                    new = np.arange(len(s))
+                _, one = np.unique(h[new] ^ (check[new] * U(0x9E3779B97F4A7C15)), return_index=True)
+                w = new[one]
+                self._learn(texts, s[w], e[w], h[w], check[w])
+                n[new] = self._find(h[new], check[new])
+            number[a : a + WORDS_AT_ONCE] = n
+        at = self.first[number]
+        sizes = self.first[number + 1] - at
+        off = np.concatenate([[0], np.cumsum(sizes)])[first]
         # The end id goes in after the last id of each text.
-        return np.insert(ids, off[1:], END).astype(np.int32), off + np.arange(len(off))
+        return np.insert(self.flat[_ranges(at, sizes)], off[1:], END).astype(np.int32), off + np.arange(len(off))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -204,17 +239,13 @@ def write_token_files(docs: DataFrame, path: str, at: str, block: int = BLOCK) -
             return pa.RecordBatch.from_arrays([pa.array([part] * len(b), pa.int32()), pa.array(b, pa.int32()), pa.array(n, pa.int64()), pa.array(p, pa.binary())], names=["part", "block", "n_ids", "payload"])
 
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
+            texts = Texts(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
-            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-            lo = 0
-            while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
-                ids, off = enc.encode(texts.slice(lo, hi - lo))
+            for lo, hi in texts.slices(SLICE_BYTES):
+                ids, off = enc.encode(texts, lo, hi)
                 for i in range(hi - lo):
                     for row in packer.add(doc_ids[lo + i], ids[off[i] : off[i + 1]]):
                         yield batch_of([row])
-                lo = hi
         if packer.entries:
             yield batch_of([packer.flush()])
 
@@ -311,7 +342,9 @@ def token_file_digests(spark: SparkSession, at: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begins = files.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("_in")).join(parts, "part")
     begins = begins.select("part", "block", (F.col("_base") + F.col("_in")).alias("_begin"))
-    found = files.select("part", "block", "payload").mapInArrow(digest, DOCS).join(begins, ["part", "block"])
+    # Written, so that each block is decoded once though the two kinds of documents are read apart.
+    decoded = Scratch(spark, "tokens").keep(files.select("part", "block", "payload").mapInArrow(digest, DOCS), "decoded")
+    found = decoded.join(begins, ["part", "block"])
     found = found.withColumn("start", F.col("_begin") + F.col("place"))
     whole = found.where("pieces = 0").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     # The pieces of a cut document follow each other in a part: number the document by its first piece.
