@@ -17,7 +17,7 @@ from inkgraph.llm.near_dup import near_duplicate_classes
 from inkgraph.llm.queries import vocabulary
 from inkgraph.llm.registry import table
 from inkgraph.llm.token_files import written_and_read
-from inkgraph.plans.tables import Scratch
+from inkgraph.plans.tables import Scratch, free_name
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,8 +31,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
     classes = near_duplicate_classes(docs)
     # Only the documents that go need to meet the texts.
-    gone = classes.where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = classes.where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgraph.llm.textbuf import Texts
+from inkgraph.plans.tables import free_name
 
 ORDER = 3
 SYMBOLS = 64
@@ -42,6 +43,8 @@ MOST_BITS = 6.5
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Bytes scored or counted at once; a worker holds about 30 bytes for each.
+CHUNK = 1 << 19
 #: What stands before the first byte of a text.
 PAD = 0x0A
 
@@ -66,8 +69,8 @@ class Model:
             self.place[self.keys] = np.arange(len(self.keys), dtype=np.int32)
         off = texts.off[lo : hi + 1]
         total = np.zeros((hi - lo, len(self.languages)))
-        for a in range(off[0], off[-1], 1 << 21):  # also a huge text is never expanded at once
-            b = min(off[-1], a + (1 << 21))
+        for a in range(off[0], off[-1], CHUNK):  # also a huge text is never expanded at once
+            b = min(off[-1], a + CHUNK)
             key = _keys(texts, self.symbol, off, a, b)
             at = self.place[key]
             bits = self.seen[np.maximum(at, 0)]
@@ -168,10 +171,10 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages:
             langs = batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 texts = Texts(batch.column(0).filter(pa.array([x == lang for x in langs])))
-                for lo, hi in texts.slices(1 << 21):
+                for lo, hi in texts.slices(CHUNK):
                     off = texts.off[lo : hi + 1]
-                    for a in range(off[0], off[-1], 1 << 21):
-                        gram, n = np.unique(_grams(texts, symbol, off, a, min(off[-1], a + (1 << 21))), return_counts=True)
+                    for a in range(off[0], off[-1], CHUNK):
+                        gram, n = np.unique(_grams(texts, symbol, off, a, min(off[-1], a + CHUNK)), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counted = rows.where(part).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
@@ -233,15 +236,16 @@ def identified(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> D
     filtered where they are scored, so nothing is joined back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    letters = free_name(docs, "_ok")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value
         for batch in batches:
             texts = Texts(batch.column("text"))
-            ok = batch.column("_ok").to_numpy(zero_copy_only=False).astype(bool)
+            ok = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in texts.slices() if frozen.languages else ():
                 least = frozen.code_lengths(texts, lo, hi).min(1)
                 ok[lo:hi] &= least <= most_bits * np.diff(texts.off[lo : hi + 1])
-            yield batch.drop_columns(["_ok"]).filter(pa.array(ok & bool(frozen.languages)))
+            yield batch.drop_columns([letters]).filter(pa.array(ok & bool(frozen.languages)))
 
-    return docs.withColumn("_ok", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(keep, docs.schema)
+    return docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(keep, docs.schema)

@@ -97,7 +97,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     equal in doc_id, source and text are numbered on both sides, as any of them may be any other.
     """
     same = Window.partitionBy("doc_id", "source", "_th")
-    keyed = docs.withColumn("_th", _text_hash())
+    # The row rides along whole, so that no name of its columns can clash.
+    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text", _text_hash().alias("_th"))
     plan = _mixed(keyed.select("doc_id", "source", words(F.col("text")).alias("size"), "_th"), weights, most, seed)
     plan = plan.withColumn("_n", F.row_number().over(same.orderBy("taken"))).select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_th").alias("_h"), F.col("_n").alias("_m"), "size", "epochs", "last_words"
@@ -111,9 +112,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     tail = F.element_at(F.split(F.ltrim(F.col("text"), F.lit(SPACES)), SPACE_CLASS + "+", (F.col("_last") + 1).cast("int")), -1)
     head = F.rtrim(F.expr("substring(text, 1, char_length(text) - char_length(_tail))"), F.lit(SPACES))
     out = rows.withColumn("_tail", tail).withColumn("text", F.when(cut, head).otherwise(F.col("text")))
+    row = F.col("_row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("_row")).select("_row.*")
 
 
 RESULT = ("doc_id", "size", "source_size", "target", "taken")
