@@ -3,8 +3,9 @@
 Notes with equal word sets are one class, so copies cost one row each and never a pair each. The
 join is exact for thresholds above 0: words are ordered from the rarest on, two sets at the
 threshold must share a word among their first ``|A| - ceil(t |A|) + 1``, and their sizes must be
-within a factor t. Only those first words are joined on; a pair that meets at several words is made
-at the first one they share, and then confirmed on the whole sets.
+within a factor t. Only those first words are joined on, and only where the words left after the
+place of the shared one can still bring the pair to the threshold; the pairs are then confirmed on
+the whole sets.
 """
 
 from __future__ import annotations
@@ -55,17 +56,19 @@ def class_pairs(notes: DataFrame, threshold: float) -> DataFrame:
     # The word's place in the order from the rarest on, as one sortable value.
     ordered = exploded.join(rarity, "word").groupBy("path", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
     first = (F.col("n") - F.ceil(F.col("n") * t - EPS) + 1).cast("int")
-    prefix = scratch.keep(ordered.select("path", "n", F.transform(F.slice("o", F.lit(1), first), lambda x: x["word"]).alias("p")), "prefixes")
-    probe = prefix.select("path", "n", "p", F.explode("p").alias("word"))
-    a, b = probe.alias("a"), probe.alias("b")
-    least = F.array_min  # the pair is made at its first shared word, by any fixed order of words
+    prefix = ordered.select("path", "n", F.posexplode(F.slice("o", F.lit(1), first)).alias("pos", "w")).select("path", "n", "pos", "w.word")
+    prefix = scratch.keep(prefix, "prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    # At the first word they share, two sets can still have so many words in common.
+    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     on = (
         (F.col("a.word") == F.col("b.word"))
         & (F.col("a.path") < F.col("b.path"))
         & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * t - EPS)
-        & (least(F.array_intersect("a.p", "b.p")) == F.col("a.word"))
+        & (rest >= (F.col("a.n") + F.col("b.n")) * (t / (1 + t)) - EPS)
     )
-    met = a.join(b, on).select(F.col("a.path").alias("source"), F.col("b.path").alias("target"))
+    # The sides are not broadcast: they are far larger than their compressed files.
+    met = a.join(b.hint("merge"), on).select(F.col("a.path").alias("source"), F.col("b.path").alias("target")).distinct()
     sa = sets.select(F.col("path").alias("source"), F.col("words").alias("wa"))
     sb = sets.select(F.col("path").alias("target"), F.col("words").alias("wb"))
     scored = met.join(sa, "source").join(sb, "target").select("source", "target", _score(F.col("wa"), F.col("wb")).alias("score"))

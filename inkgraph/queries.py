@@ -243,7 +243,12 @@ _both(
     lambda c, s: O.chain(c) + _CONTEXT + f"SELECT path, context FROM ctx WHERE path = '{NOTE[s]}'",
 )
 _BUNDLE = "SELECT n.path, '**PageRank:** ' || printf('%.4f', round(r, 4)) || chr(10) || '---' || chr(10) || context || chr(10) AS section FROM n JOIN ctx USING (path) JOIN p10 USING (path)"
-_both(lambda g, s: g.bundle(), "scan_filtered", lambda c, s: O.chain(c) + O.pagerank() + _CONTEXT + _BUNDLE, on=("_mini",))
+_both(lambda g, s: g.bundle(), "export_all", lambda c, s: O.chain(c) + O.pagerank() + _CONTEXT + _BUNDLE, on=("_mini",))
+_both(
+    lambda g, s: g.bundle(TAG[s]),
+    "scan_filtered",
+    lambda c, s: O.chain(c) + O.pagerank() + _CONTEXT + _BUNDLE + " WHERE " + _HAS_TAG.format(tag=TAG[s]),
+)
 _both(
     lambda g, s: g.bundle(None, STATUS[s]),
     "knowledge_bundle",
