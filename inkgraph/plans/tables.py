@@ -39,7 +39,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/inkgraph/{name}-{uuid.uuid4().hex}"
+        # By application, so that what an ended one has left can be removed.
+        self.base = f"{shared_dir(spark)}/inkgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
     def path(self, label: str) -> str:
