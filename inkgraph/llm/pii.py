@@ -22,7 +22,6 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
