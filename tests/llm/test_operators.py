@@ -79,7 +79,7 @@ def test_pii_added_spans():
 def test_pii_query(spark):
     rows = docs(spark, odd([(9, "é mail a.b@c.de and +1 (743) 555-3824 or 10.0.0.255", "en", "a", 1)]))
     got = {r["doc_id"]: r for r in pii.span_digests(pii.pii_spans(clashing(rows))).collect()}
-    assert got[9]["n_email"] == got[9]["n_phone"] == got[9]["n_ip"] == 1 and got[9]["spans"] == "email:7:15,ip:41:51,phone:20:37".replace("email:7:15,ip:41:51", "email:7:15,ip:41:51")
+    assert got[9]["n_email"] == got[9]["n_phone"] == got[9]["n_ip"] == 1 and got[9]["spans"] == "email:7:15,ip:41:51,phone:20:37"
     assert got[2]["spans"] == "" and got[2]["base_sha256"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert pii.redacted(rows.where("doc_id = 9")).head()["text"] == "é mail [email] and [phone] or [ip]"
     assert pii.pii_spans(docs(spark, [])).count() == 0
