@@ -83,7 +83,7 @@ class _Models:
         same = p1 == p2
         self.k2 = c2 * 17 + (c1 + 1) * same
         self.k1 = c1 * 16 + c2
-        t2 = np.minimum(self.hits2 / self.seen2 * ONE, ONE - LEAST_REST).astype(np.int32)
+        t2 = np.minimum(self.hits2 / self.seen2 * ONE, ONE - LEAST_REST).astype(np.int64)
         t2[:17] = 0  # no prediction
         t1 = (self.hits1 / self.seen1 * ONE).astype(np.int64)
         t1[:16] = 0
@@ -126,19 +126,23 @@ def _compress(ids: np.ndarray, vocabulary: int) -> bytes:
     lanes, steps = _layout(len(ids))
     model = _Models(vocabulary, lanes)
     low, rng = np.zeros(lanes, U), np.full(lanes, np.iinfo(U).max, U)
-    out, pos = np.zeros((lanes, 4 * steps + 4), np.uint16), np.zeros(lanes, np.int64)
+    room = 4 * steps + 4
+    out, pos = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
+    by_step = np.zeros(lanes * steps, np.int64)
+    by_step[: len(ids)] = ids
+    by_step = np.ascontiguousarray(by_step.reshape(lanes, steps).T)
     for s in range(steps):
         n = -(-(len(ids) - s) // steps)
-        x = ids[s::steps].astype(np.int64)
+        x = by_step[s, :n]
         p2, p1, f2, f1 = model.predict(n)
         two = (x == p2) & (f2 > 0)
-        one = ~two & (x == p1) & (f1 > 0)
-        rest = ~(two | one)
-        base = np.where(two, 0, np.where(one, f2, f2 + f1)).astype(U)
-        part = np.where(two, f2, np.where(one, f1, ONE - f2 - f1)).astype(U)
+        one = (x == p1) & (f1 > 0) & ~two
+        j = np.flatnonzero(~(two | one))
+        base, part = np.where(two, 0, f2), np.where(two, f2, f1)
+        both = f2[j] + f1[j]
+        base[j], part[j] = both, ONE - both
         r = rng[:n] >> U(16)
-        lo, g = low[:n] + r * base, r * part
-        j = np.flatnonzero(rest)
+        lo, g = low[:n] + r * base.view(U), r * part.view(U)
         r = g[j] // model.total
         begin, wide = model.interval(x[j])
         lo[j] += r * begin
@@ -147,7 +151,7 @@ def _compress(ids: np.ndarray, vocabulary: int) -> bytes:
         while len(k):
             lk, gk = lo[k], g[k]
             gk = np.where((lk ^ (lk + gk)) >= TOP, (U(0) - lk) & (BOT - U(1)), gk)
-            out[k, pos[k]] = lk >> U(48)
+            out[pos[k]] = lk >> U(48)
             pos[k] += 1
             lk, gk = lk << U(16), gk << U(16)
             lo[k], g[k] = lk, gk
@@ -155,12 +159,12 @@ def _compress(ids: np.ndarray, vocabulary: int) -> bytes:
         low[:n], rng[:n] = lo, g
         model.learn(x)
     end = (low + (BOT - U(1))) >> U(32)  # two words decide: the range is at least BOT
-    every = np.arange(lanes)
     for shift in (16, 0):
-        out[every, pos] = (end >> U(shift)) & U(0xFFFF)
+        out[pos] = (end >> U(shift)) & U(0xFFFF)
         pos += 1
-    used = np.arange(out.shape[1]) < pos[:, None]
-    return pos.astype("<u2").tobytes() + out[used].astype("<u2").tobytes()
+    size = pos - np.arange(lanes) * room
+    used = np.arange(room) < size[:, None]
+    return size.astype("<u2").tobytes() + out.reshape(lanes, room)[used].astype("<u2").tobytes()
 
 
 def _expand(data: bytes, n_ids: int, vocabulary: int) -> np.ndarray:
@@ -183,7 +187,7 @@ def _expand(data: bytes, n_ids: int, vocabulary: int) -> np.ndarray:
         code = (code << U(16)) | take(every)
     model = _Models(vocabulary, lanes)
     low, rng = np.zeros(lanes, U), np.full(lanes, np.iinfo(U).max, U)
-    ids = np.empty(lanes * steps, np.uint32).reshape(lanes, steps)
+    by_step = np.empty((steps, lanes), np.uint32)
     for s in range(steps):
         n = -(-(n_ids - s) // steps)
         p2, p1, f2, f1 = model.predict(n)
@@ -191,11 +195,12 @@ def _expand(data: bytes, n_ids: int, vocabulary: int) -> np.ndarray:
         r = rng[:n] >> U(16)
         v = np.minimum((c - lo) // r, U(ONE - 1)).astype(np.int64)
         two, rest = v < f2, v >= f2 + f1
-        base = np.where(two, 0, np.where(rest, f2 + f1, f2)).astype(U)
-        part = np.where(two, f2, np.where(rest, ONE - f2 - f1, f1)).astype(U)
-        x = np.where(two, p2, p1).astype(np.int64)
-        lo, g = lo + r * base, r * part
         j = np.flatnonzero(rest)
+        base, part = np.where(two, 0, f2), np.where(two, f2, f1)
+        both = f2[j] + f1[j]
+        base[j], part[j] = both, ONE - both
+        x = np.where(two, p2, p1).astype(np.int64)
+        lo, g = lo + r * base.view(U), r * part.view(U)
         r = g[j] // model.total
         v = np.minimum((c[j] - lo[j]) // r, model.total - U(1)).astype(np.int32)
         xj = model.find(v)
@@ -212,9 +217,9 @@ def _expand(data: bytes, n_ids: int, vocabulary: int) -> np.ndarray:
             lo[k], g[k] = lk, gk
             k = k[((lk ^ (lk + gk)) < TOP) | (gk < BOT)]
         low[:n], rng[:n], code[:n] = lo, g, c
-        ids[:n, s] = x
+        by_step[s, :n] = x
         model.learn(x)
-    return ids.reshape(-1)[:n_ids]
+    return by_step.T.reshape(-1)[:n_ids]
 
 
 _HEAD = struct.Struct("<4sIIII")

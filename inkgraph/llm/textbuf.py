@@ -41,6 +41,7 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _BYTE_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * U(0xA0761D6478BD642F))
 _BYTE_OTHER[list(SPACES)] = 0
+_BYTE_OTHER_LOWER = _BYTE_OTHER[_LOWER]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -97,7 +98,7 @@ class Texts:
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True, spaced: bool = True, other: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; with ``lower``, A-Z count as a-z. ``spaced`` says that only
         white space lies between the words. ``other`` gives a second, independent hash."""
-        table = _BYTE_OTHER if other else _BYTE_LOWER if lower else _BYTE
+        table = (_BYTE_OTHER_LOWER if lower else _BYTE_OTHER) if other else (_BYTE_LOWER if lower else _BYTE)
         out = np.empty(len(starts), np.uint64)
         i = 0
         while i < len(starts):

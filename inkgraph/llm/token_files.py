@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkgraph.llm.range_coder import BLOCK, decode_block, encode_block
-from inkgraph.llm.textbuf import Texts, U
+from inkgraph.llm.textbuf import Texts, U, mix
 from inkgraph.plans.tables import Scratch
 
 END = 1
@@ -57,6 +57,10 @@ def _byte_letters(word: str) -> str:
     return "".join([letters[b] for b in word.encode()])
 
 
+_IS_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_IS_TAIL = np.array([chr(b) in ".," for b in range(256)])
+
+
 class WordEncoder:
     """Ids of texts through the library's ids of their distinct words."""
 
@@ -73,7 +77,7 @@ class WordEncoder:
         self.model = self.library.model
         self.plain = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
         self.by_model = all([t.id for t in self.model.tokenize(_byte_letters(w))] == self._ids(w) for w in ("a", "the", "straße", "élève", "ñandúes", "zyxwvutsrq"))
-        self.by_model = self.by_model and self._ids("Thé.,") == self._ids("thé") + self._ids(".,")
+        self.by_model = self.by_model and self._ids("Thé.,") == self._ids("thé") + self._ids(".,") and self._ids("AB'S 1X") == self._ids("ab's 1x")
         self.tails: dict[str, list[int]] = {"": []}
         self._forget()
 
@@ -151,17 +155,45 @@ class WordEncoder:
         self.n += len(coded)
         self.used = need
 
+    def _parted(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words with points and commas after a Latin letter as words of their own."""
+        if not self.by_model or not len(starts):
+            return starts, ends, first
+        tail = np.zeros(len(starts), np.int64)
+        for k in range(1, 5):
+            at = ends - k
+            tail[(at > starts) & (tail == k - 1) & _IS_TAIL[texts.data[np.maximum(at, 0)]]] = k
+        tail[~_IS_LETTER[texts.data[ends - tail - 1]]] = 0
+        cut = np.flatnonzero(tail)
+        place = np.arange(len(starts) + 1) + np.concatenate([[0], np.cumsum(tail > 0)])
+        s, e = np.empty(place[-1], np.int64), np.empty(place[-1], np.int64)
+        s[place[:-1]], e[place[:-1]] = starts, ends - tail
+        s[place[cut] + 1], e[place[cut] + 1] = ends[cut] - tail[cut], ends[cut]
+        return s, e, place[first]
+
+    def _hashes(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each word. Case is lost in all but special strings, which hold ``<|``."""
+        h, check = texts.hashes(starts, ends, lower=self.by_model), texts.hashes(starts, ends, other=True, lower=self.by_model)
+        if self.by_model:
+            part = texts.data[starts[0] : ends[-1]]
+            special = np.flatnonzero((part[:-1] == 0x3C) & (part[1:] == 0x7C))
+            if len(special):
+                w = np.unique(np.searchsorted(starts, special + starts[0], "right") - 1)
+                h[w] = mix(texts.hashes(starts[w], ends[w], lower=False, spaced=False))
+                check[w] = mix(texts.hashes(starts[w], ends[w], lower=False, spaced=False, other=True))
+        return h, check
+
     def encode(self, texts: Texts, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, n + 1 offsets) of the documents lo..hi, the end id after each."""
         if not self.by_word:
             whole = [texts.data[texts.off[d] : texts.off[d + 1]].tobytes().decode() for d in range(lo, hi)]
             coded = [e.ids + [END] for e in self.library.encode_batch(whole, add_special_tokens=False)]
             return np.array([i for c in coded for i in c], np.int32), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
-        starts, ends, first = texts.words(lo, hi)
+        starts, ends, first = self._parted(texts, *texts.words(lo, hi))
         number = np.zeros(len(starts), np.int32)
         for a in range(0, len(starts), WORDS_AT_ONCE):
             s, e = starts[a : a + WORDS_AT_ONCE], ends[a : a + WORDS_AT_ONCE]
-            h, check = texts.hashes(s, e, lower=False), texts.hashes(s, e, other=True)
+            h, check = self._hashes(texts, s, e)
             n = self._find(h, check)
             new = np.flatnonzero(n < 0)
             if len(new):
