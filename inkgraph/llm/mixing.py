@@ -98,8 +98,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """
     same = Window.partitionBy("doc_id", "source", "_th")
     # The row rides along whole, so that no name of its columns can clash.
-    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text", _text_hash().alias("_th"))
-    plan = _mixed(keyed.select("doc_id", "source", words(F.col("text")).alias("size"), "_th"), weights, most, seed)
+    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "source", _text_hash().alias("_th"))
+    plan = _mixed(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _text_hash().alias("_th")), weights, most, seed)
     plan = plan.withColumn("_n", F.row_number().over(same.orderBy("taken"))).select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_th").alias("_h"), F.col("_n").alias("_m"), "size", "epochs", "last_words"
     )
@@ -109,12 +109,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs") + (F.col("_last") > 0).cast("long"))))
     cut = (F.col("_copy") > F.col("_epochs")) & (F.col("_last") < F.col("_size"))
     # The first words with the white space between them; split's limit leaves the rest in one piece.
-    tail = F.element_at(F.split(F.ltrim(F.col("text"), F.lit(SPACES)), SPACE_CLASS + "+", (F.col("_last") + 1).cast("int")), -1)
-    head = F.rtrim(F.expr("substring(text, 1, char_length(text) - char_length(_tail))"), F.lit(SPACES))
-    out = rows.withColumn("_tail", tail).withColumn("text", F.when(cut, head).otherwise(F.col("text")))
-    row = F.col("_row").withField("text", F.col("text"))
+    tail = F.element_at(F.split(F.ltrim(F.col("_row.text"), F.lit(SPACES)), SPACE_CLASS + "+", (F.col("_last") + 1).cast("int")), -1)
+    head = F.rtrim(F.expr("substring(_row.text, 1, char_length(_row.text) - char_length(_tail))"), F.lit(SPACES))
+    out = rows.withColumn("_tail", F.when(cut, tail)).withColumn("_text", F.when(cut, head).otherwise(F.col("_row.text")))
+    row = F.col("_row").withField("text", F.col("_text"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        row = row.withField("n_chars", F.char_length("_text").cast(docs.schema["n_chars"].dataType))
     return out.select(row.alias("_row")).select("_row.*")
 
 
