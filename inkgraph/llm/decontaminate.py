@@ -42,7 +42,7 @@ VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.8
 LEAST_WINDOW = 32
 #: Words more frequent than this share of all words weigh next to nothing.
 COMMON, FLOOR = 1e-3, 0.1
-BLOCK_ITEMS, BLOCK_WORDS, FIT_ITEMS = 50_000, 4_000_000, 20_000
+BLOCK_ITEMS, BLOCK_WORDS, FIT_ITEMS = 50_000, 4_000_000, 5_000
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -164,10 +164,10 @@ def _word_vectors(passages: DataFrame, known: np.ndarray, weight: np.ndarray, ra
                     yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["word", "v"])
 
         parts = passages.select("text").mapInArrow(part, "word long, v array<double>")
-        rows = parts.groupBy("word").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(width)]).toPandas()
-        shared.unpersist()
+        rows = parts.select("word", F.posexplode("v").alias("j", "x")).groupBy("word", "j").agg(F.sum("x").alias("x")).toArrow()
+        shared.destroy()
         z = np.zeros_like(x)
-        z[rows["word"].to_numpy(np.int64)] = rows[[f"v{j}" for j in range(width)]].to_numpy(float)
+        z[rows["word"].to_numpy(), rows["j"].to_numpy()] = rows["x"].to_numpy()
         return z
 
     for _ in range(PASSES):

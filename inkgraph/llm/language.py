@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -103,12 +102,10 @@ def _keys(texts: Texts, symbol: np.ndarray, off: np.ndarray, a: int, b: int) ->
     return key
 
 
-def fit(counts: pd.DataFrame) -> Model:
-    """The frozen model from rows (lang, gram, n): four-byte grams as unsigned 32-bit numbers."""
-    languages = sorted(counts["lang"].unique())
-    gram = counts["gram"].to_numpy(np.int64)
-    n = counts["n"].to_numpy(np.float64)
-    number = np.searchsorted(np.array(languages, object), counts["lang"].to_numpy(object)) if languages else np.zeros(0, int)
+def fit(languages: list[str], number: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
+    """The frozen model from counts: the language's number, a four-byte gram as an unsigned 32-bit
+    number, and how often it was seen."""
+    n = n.astype(np.float64)
     by_byte = np.bincount(gram & 255, weights=n, minlength=256)
     common = np.argsort(-by_byte, kind="stable")[: SYMBOLS - 1]
     common = common[by_byte[common] > 0]
@@ -161,7 +158,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages:
     rows = labelled.where("lang is not null and doc_id is not null")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not sizes:
-        return fit(pd.DataFrame({"lang": [], "gram": [], "n": []}))
+        return fit([], *(np.zeros(0, np.int64) for _ in range(3)))
     shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
     part = (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) / 1_000_000) < shares[F.col("lang")]
     symbol = np.arange(256, dtype=np.uint8)[_FOLD]
@@ -178,7 +175,12 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counted = rows.where(part).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    return fit(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
+    languages = sorted(r["lang"] for r in sizes)
+    named = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
+    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select(named.cast("int").alias("k"), "gram", "n").toArrow()
+    # A language none of whose sampled rows has a text was not learned.
+    learned, number = np.unique(rows["k"].to_numpy(), return_inverse=True)
+    return fit([languages[i] for i in learned], number, rows["gram"].to_numpy(), rows["n"].to_numpy())
 
 
 def _grams(texts: Texts, symbol: np.ndarray, off: np.ndarray, a: int, b: int) -> np.ndarray:
