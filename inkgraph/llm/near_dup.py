@@ -9,9 +9,9 @@
    of a group of edited copies. Candidates whose bit count puts the collision-corrected similarity
    far under the threshold are left out; the others are confirmed on the full sets.
 4. In the buckets that still hold more than one component, every member outside the bucket's
-   largest component is a query: against that component it is tried on full sets, in blocks, and
-   against the other outsiders pair by pair. So every candidate pair is either inside a component
-   or has been tried: the components are exactly those of all confirmed candidates.
+   largest component is a query: it is tried on full sets, in blocks, against that component and
+   against the other outsiders. So every candidate pair is either inside a component or has been
+   tried: the components are exactly those of all confirmed candidates.
 
 Defined cases: null and empty texts (or texts without words) have an empty set and are linked with
 nothing; repeated rows of one doc_id are one node and each keeps a row; rows with a null doc_id
@@ -137,22 +137,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return pairs.join(a, "a").join(b, "b").select("a", "b", "_ta", "_tb").mapInArrow(check, "a long, b long")
 
 
-def _confirmed_in_blocks(asked: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """A link (a, b) from each document asked to its component ``to``, if any of its members has one.
+def _confirmed_in_blocks(queries: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the queries and the members of each group.
 
-    Members and queries of a component are both dealt into blocks, and each pair of blocks is one
-    group, so a large component is spread over many tasks and no pair becomes a row.
+    Both are rows (to, doc_id, comp) of a group ``to``; comp is the component so far. Queries and
+    members of a group are both dealt into blocks and each pair of blocks is one task's work, so a
+    large group is spread and no pair becomes a row. Of the links found in a pair of blocks, those
+    that join components not yet joined there are given: all connections, at most one link for each.
     """
-    sizes = asked.groupBy("to").agg(F.count("*").alias("_q")).join(
-        labels.groupBy(F.col("component").alias("to")).agg(F.count("*").alias("_m")), "to"
-    )
+    sizes = queries.groupBy("to").agg(F.count("*").alias("_q")).join(members.groupBy("to").agg(F.count("*").alias("_m")), "to")
     sizes = sizes.select("to", F.ceil(F.col("_m") / BLOCK_MEMBERS).alias("_mb"), F.ceil(F.col("_q") / BLOCK_QUERIES).alias("_qb"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
-    members = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("to")).join(sizes, "to").join(texts, "doc_id")
-    members = members.select("to", "doc_id", "text", dealt("_mb").alias("m"), every("_qb").alias("q"))
-    queries = asked.join(sizes, "to").join(texts, "doc_id")
-    queries = queries.select("to", "doc_id", F.col("text").alias("asked"), every("_mb").alias("m"), dealt("_qb").alias("q"))
+    # New names on one side: both come from the same tables.
+    left = members.join(sizes, "to").join(texts, "doc_id").select("to", "doc_id", "comp", "text", dealt("_mb").alias("m"), every("_qb").alias("q"))
+    right = queries.join(sizes, "to").join(texts, "doc_id").select(
+        (F.col("to") + 0).alias("to"), F.col("doc_id").alias("asked"), F.col("comp").alias("own"), F.col("text").alias("words"), every("_mb").alias("m"), dealt("_qb").alias("q")
+    )
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -160,19 +161,29 @@ def _confirmed_in_blocks(asked: DataFrame, labels: DataFrame, texts: DataFrame,
             sets = list(shingle_sets(Texts(pa.array(left["text"], pa.string())), width))
             sizes_, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes_)
-            for o, own in zip(right["doc_id"], shingle_sets(Texts(pa.array(right["asked"], pa.string())), width), strict=True):
+            ids, comps = left["doc_id"].tolist(), left["comp"].tolist()
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (up := root.get(c, c)) != c:
+                    root[c] = root.get(up, up)
+                    c = up
+                return c
+
+            for o, comp, own in zip(right["asked"].tolist(), right["own"].tolist(), shingle_sets(Texts(pa.array(right["words"], pa.string())), width), strict=True):
                 if not len(own):
                     continue
                 at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
                 common = np.bincount(owner[own[at] == flat], minlength=len(sets))
-                ok = np.flatnonzero((100 * common >= percent * (len(own) + sizes_ - common)) & (sizes_ > 0))
-                if len(ok):
-                    g = left["doc_id"].iloc[ok[0]]
-                    found.append((max(o, g), min(o, g)))
+                for g in np.flatnonzero((100 * common >= percent * (len(own) + sizes_ - common)) & (sizes_ > 0)).tolist():
+                    x, y = find(comps[g]), find(comp)
+                    if x != y:
+                        root[x] = y
+                        found.append((max(o, ids[g]), min(o, ids[g])))
         return pd.DataFrame(found, columns=["a", "b"])
 
     keys = ["to", "m", "q"]
-    return members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicate_classes(
@@ -205,15 +216,15 @@ def near_duplicate_classes(
     one = sketch.where("fp is not null").join(classes, "fp").where("doc_id = rep")
     keyed = one.select("doc_id", F.explode("bands").alias("key"))
     mates = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keep(keyed.join(mates, "key"), "members")
-    sigs = keep(one.select("doc_id", "sig", "bands").join(members, "doc_id", "left_semi"), "sigs")
+    members = keep(keyed.join(mates.hint("merge"), "key"), "members")
+    sigs = keep(one.select("doc_id", "sig").join(members, "doc_id", "left_semi"), "sigs")
     sig2 = sigs.select(F.col("doc_id").alias("doc2"), F.col("sig").alias("sig2"))
 
     # Each member with its bucket's leader.
     weight = members.groupBy("doc_id").agg(F.sum("n").alias("w"))
     lead = members.join(weight, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("w", -F.col("doc_id"))).alias("doc2"))
     met = members.join(lead, "key").where("doc_id != doc2").select("doc_id", "doc2").distinct()
-    met = met.join(sigs.drop("bands"), "doc_id").join(sig2, "doc2").where(near)
+    met = met.join(sigs, "doc_id").join(sig2, "doc2").where(near)
     pairs = keep(met.select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct(), "pairs")
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     links = keep(_confirmed(pairs, texts, width, percent), "links")
@@ -228,22 +239,20 @@ def near_duplicate_classes(
     open_ = keep(here.join(largest.where("k > 1").select("key", "to"), "key").join(sigs, "doc_id"), "open")
     outside = open_.where("comp != to")
     inside = open_.where("comp = to").select(F.col("key").alias("key2"), F.col("sig").alias("sig2"))
-    asked = keep(outside.join(inside, (F.col("key") == F.col("key2")) & near, "left_semi").select("doc_id", "to").distinct(), "asked")
-    other = outside.select(F.col("key").alias("key2"), F.col("doc_id").alias("doc2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"), F.col("bands").alias("bands2"))
-    # A pair that meets in several buckets is made by the least key alone.
-    once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("key")
-    across = outside.join(other, (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & near & once).select("doc_id", "doc2")
-    # A component that is one document is asked directly.
+    asked = keep(outside.join(inside, (F.col("key") == F.col("key2")) & near, "left_semi").select("doc_id", "to", "comp").distinct(), "asked")
+    other = outside.select(F.col("key").alias("key2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"))
+    among = outside.join(other, (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("comp2")) & near, "left_semi")
+    among = keep(among.select("to", "doc_id", "comp").distinct(), "among")
+    # A component that is one document is asked as a pair.
     grown = labels.select(F.col("component").alias("to")).distinct()
-    across = across.unionAll(asked.join(grown, "to", "left_anti").select("doc_id", F.col("to").alias("doc2")))
-    pairs = keep(across.select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct(), "pairs")
-    pairs = pairs.join(links, ["a", "b"], "left_anti")
+    pairs = asked.join(grown, "to", "left_anti").select(F.greatest("doc_id", "to").alias("a"), F.least("doc_id", "to").alias("b")).distinct()
+    pairs = keep(pairs.join(links, ["a", "b"], "left_anti"), "pairs")
     asked = asked.join(grown, "to", "left_semi")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(asked.select("doc_id"))
-    ids = ids.unionAll(labels.join(asked, F.col("component") == F.col("to"), "left_semi").select("id"))
-    texts = texts_of(ids)
-    more = _confirmed(pairs, texts, width, percent).unionAll(_confirmed_in_blocks(asked, labels, texts, width, percent))
-    more = keep(more, "links")
+    inner = labels.join(asked.select("to").distinct(), F.col("component") == F.col("to")).select("to", F.col("id").alias("doc_id"), F.col("component").alias("comp"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(asked.select("doc_id")).unionAll(among.select("doc_id"))
+    texts = texts_of(ids.unionAll(inner.select("doc_id")))
+    more = _confirmed(pairs, texts, width, percent).unionAll(_confirmed_in_blocks(asked, inner, texts, width, percent))
+    more = keep(more.unionAll(_confirmed_in_blocks(among, among, texts, width, percent)), "links")
     if not more.isEmpty():
         # Components of components: the ends of the new links by their labels so far.
         la, lb = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
