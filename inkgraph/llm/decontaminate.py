@@ -15,8 +15,8 @@
 
 Candidates are confirmed where they are found, so no text moves. What is broadcast are the
 passages' word hashes and latent vectors: passages are taken in blocks of at most ``BLOCK_ITEMS``
-items and ``BLOCK_WORDS`` words, each searched in a pass of its own; the SVD is fitted on at most
-``FIT_ITEMS`` passages of a block (a documented bound) and all passages are projected.
+items and ``BLOCK_WORDS`` words, each searched in a pass of its own; the SVD is fitted on all passages
+of the block.
 
 Defined cases: null and empty texts and passages match nothing; an empty benchmark contaminates
 nothing; repeated rows repeat their result (with more than one block of passages, rows of equal
@@ -42,7 +42,9 @@ VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.8
 LEAST_WINDOW = 32
 #: Words more frequent than this share of all words weigh next to nothing.
 COMMON, FLOOR = 1e-3, 0.1
-BLOCK_ITEMS, BLOCK_WORDS, FIT_ITEMS = 50_000, 4_000_000, 5_000
+BLOCK_ITEMS, BLOCK_WORDS = 50_000, 4_000_000
+#: Words whose products a task holds before it passes them on.
+HELD_WORDS = 1 << 15
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -152,16 +154,24 @@ def _word_vectors(passages: DataFrame, known: np.ndarray, weight: np.ndarray, ra
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, w, x = shared.value
             number = Lookup(words)
+
+            def flush(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+                at = np.arange(len(total) + 1, dtype=np.int32) * x.shape[1]
+                return pa.RecordBatch.from_arrays([pa.array(list(total)), pa.ListArray.from_arrays(at, np.concatenate(list(total.values())))], names=["word", "v"])
+
             for batch in batches:
                 total: dict[int, np.ndarray] = {}
                 for cell in batch.column(0):
+                    if len(total) > HELD_WORDS:
+                        yield flush(total)
+                        total = {}
                     at, times = np.unique(_numbers(cell.as_py() or "", number), return_counts=True)
                     value = times * w[at]
                     y = value @ x[at]
                     for k, v in zip(at.tolist(), value.tolist(), strict=True):
                         total[k] = total.get(k, 0) + v * y
                 if total:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["word", "v"])
+                    yield flush(total)
 
         parts = passages.select("text").mapInArrow(part, "word long, v array<double>")
         rows = parts.select("word", F.posexplode("v").alias("j", "x")).groupBy("word", "j").agg(F.sum("x").alias("x")).toArrow()
@@ -178,15 +188,15 @@ def _word_vectors(passages: DataFrame, known: np.ndarray, weight: np.ndarray, ra
 
 def build_index(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Index:
     """The index of one block of passages (item_id, text), weighted by the words of all ``docs``."""
-    rows = sorted((r["item_id"], r["text"]) for r in items.where("item_id is not null and text is not null").collect())
+    items = items.where("item_id is not null and text is not null")
+    rows = sorted((r["item_id"], r["text"]) for r in items.collect())
     hashes = [word_hashes(t) for _, t in rows]
     known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
     counts, total = _counts(docs, known) if len(known) else (np.zeros(0, np.int64), 0)
     share = np.maximum(counts, 1) / max(total, 1)
     weight = np.maximum(np.log(COMMON / share), 0) + FLOOR
     number = Lookup(known)
-    fit = items.where("text is not null").orderBy(F.xxhash64("item_id"), "item_id").limit(FIT_ITEMS)
-    vectors = _word_vectors(fit, known, weight, rank) if len(known) else np.zeros((0, rank))
+    vectors = _word_vectors(items, known, weight, rank) if len(known) else np.zeros((0, rank))
     vectors = (vectors * weight[:, None]).astype(np.float32)
     at = [number(h) for h in hashes]
     latent = np.array([vectors[a].sum(0) for a in at], np.float32).reshape(len(at), vectors.shape[1])

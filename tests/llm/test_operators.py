@@ -315,6 +315,12 @@ def test_word_vectors_are_singular_vectors(spark):
     assert np.linalg.norm(full @ got, axis=0) == pytest.approx(values[:5], rel=0.05)
 
 
+def test_every_passage_is_fitted(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(4))) for i in range(5400)]
+    index = decontaminate.build_index(docs(spark), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(index.known) == 4 * 5400 and np.linalg.norm(index.vectors, axis=1).min() > 0
+
+
 # Language.
 
 
