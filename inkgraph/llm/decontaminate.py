@@ -8,7 +8,9 @@
    window whose weight cannot cover ``COVER`` of any passage is passed over (an upper bound, so
    nothing is lost by it); the others get a latent vector and their cosines with all passages, in
    blocks. Candidates have a cosine of at least ``COSINE`` and share words of at least ``COVER`` of the
-   passage's weight.
+   passage's weight. Whatever its cosine, a window is a candidate if it and half a window to each
+   side, room for a whole passage, share words of ``COVER`` of the passage's weight; an inverted
+   index of the passages' words gives these, all but the lightest words of a passage being in it.
 4. Around a candidate window, the longest common subsequence of words with the passage decides:
    contaminated from ``VERBATIM`` of the passage on, and from ``PARAPHRASE`` on if the passage's answer
    (its last sentence) is there too, again by common subsequence, at ``ANSWER``.
@@ -40,6 +42,8 @@ RANK, OVERSAMPLE, PASSES = 64, 16, 2
 COVER, COSINE = 0.25, 0.4
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.8
 LEAST_WINDOW = 32
+#: The share of a passage's weight that may be left out of the inverted index, in its lightest words.
+LIGHT = 0.05
 #: Words more frequent than this share of all words weigh next to nothing.
 COMMON, FLOOR = 1e-3, 0.1
 BLOCK_ITEMS, BLOCK_WORDS = 50_000, 4_000_000
@@ -205,6 +209,76 @@ def build_index(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Index:
     return Index([i for i, _ in rows], hashes, [word_hashes(answer_of(t)) for _, t in rows], known, weight, energy, latent, vectors)
 
 
+class Postings:
+    """Which of ``items`` (word numbers of each, ``square`` by word) hold a word, for all but their lightest words."""
+
+    #: Most postings worked on at once; one block of words may have some more.
+    HELD = 1 << 20
+
+    def __init__(self, items: list[np.ndarray], square: np.ndarray, n_words: int):
+        self.n, self.square = len(items), square
+        words, owners, self.need = [], [], np.zeros(len(items))
+        for i, x in enumerate(items):
+            own, times = np.unique(x, return_counts=True)
+            part = times * square[own]
+            order = np.argsort(part, kind="stable")
+            total = np.cumsum(part[order])
+            light = int(np.searchsorted(total, LIGHT * total[-1], "right"))
+            words.append(own[order[light:]])
+            owners.append(np.full(len(own) - light, i))
+            # What is left out can bring no more than its own weight.
+            self.need[i] = COVER * total[-1] - (total[light - 1] if light else 0.0) - 1e-9
+        word, owner = np.concatenate(words), np.concatenate(owners)
+        order = np.argsort(word, kind="stable")
+        self.owner = owner[order]
+        self.first = np.searchsorted(word[order], np.arange(n_words + 1))
+
+    def __call__(self, words: np.ndarray, block: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(blocks, items) such that a block, the one before and the two after it share enough with the
+        item. ``block`` is the block of each word, ascending, ``doc`` the document of each block."""
+        times = self.first[words + 1] - self.first[words]
+        some = times > 0
+        words, block, times = words[some], block[some], times[some]
+        upto = np.concatenate([[0], np.cumsum(times)])
+        at = np.searchsorted(block, np.arange(len(doc) + 1))  # the first word of each block
+        a = 0
+        while a < len(doc):
+            b = max(a + 1, int(np.searchsorted(upto[at], upto[at[a]] + self.HELD, "right")) - 1)
+            b = min(b, len(doc))
+            lo, hi = max(0, a - 1), min(len(doc), b + 2)
+            w = slice(at[lo], at[hi])
+            n = times[w]
+            if n.sum():
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[words[w]], n)
+                key = np.repeat(block[w] - lo, n) * self.n + self.owner[place]
+                found, item = self._stretches(key, np.repeat(self.square[words[w]], n), doc[lo:hi])
+                own = (found >= a - lo) & (found < b - lo)
+                yield found[own] + lo, item[own]
+            a = b
+
+    def _stretches(self, key: np.ndarray, value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = len(doc)
+        if size * self.n <= 8 * len(key):
+            sums = np.bincount(key, weights=value, minlength=size * self.n).reshape(size, self.n)
+            whole = sums.copy()
+            for d in (1, 2):
+                whole[:-d] += sums[d:] * (doc[d:] == doc[:-d])[:, None]
+            whole[1:] += sums[:-1] * (doc[1:] == doc[:-1])[:, None]
+            return np.nonzero(whole >= self.need)
+        key, at = np.unique(key, return_inverse=True)
+        value, block = np.bincount(at, weights=value), key // self.n
+        keys, values = [], []
+        for d in (-1, 0, 1, 2):
+            head = block - d
+            ok = (head >= 0) & (head < size)
+            ok &= doc[np.clip(head, 0, size - 1)] == doc[block]
+            keys.append(key[ok] - d * self.n)
+            values.append(value[ok])
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        enough = np.bincount(at, weights=np.concatenate(values)) >= self.need[key % self.n]
+        return key[enough] // self.n, key[enough] % self.n
+
+
 class Search:
     """Finds passages in batches of texts."""
 
@@ -219,6 +293,7 @@ class Search:
         owner = np.repeat(np.arange(len(index.items)), [len(x) for x in index.items]).astype(np.int64)
         words = self.number(np.concatenate(index.items)) if len(index.items) else np.zeros(0, np.int64)
         self.base = len(index.known) + 1
+        self.postings = [Postings([self.number(index.items[i]) for i in items], self.square, len(index.known)) if len(items) else None for _, items in self.levels]
         self.has = None
         if len(index.items) * self.base <= self.TABLE:
             self.has = np.zeros((len(index.items), self.base), bool)
@@ -246,12 +321,12 @@ class Search:
             h = texts.hashes(starts, ends, spaced=False)
             at = self.number(h)
             known = np.flatnonzero(at >= 0)
-            for wide, items in self.levels:
+            for (wide, items), postings in zip(self.levels, self.postings, strict=True):
                 if len(items):
-                    self._level(out, lo, h, at, known, first, wide, items)
+                    self._level(out, lo, h, at, known, first, wide, items, postings)
         return out
 
-    def _level(self, out: dict, lo: int, h: np.ndarray, at: np.ndarray, known: np.ndarray, first: np.ndarray, wide: int, items: np.ndarray) -> None:
+    def _level(self, out: dict, lo: int, h: np.ndarray, at: np.ndarray, known: np.ndarray, first: np.ndarray, wide: int, items: np.ndarray, postings: Postings) -> None:
         """Windows are two neighbouring blocks of half their width, so each word is summed once."""
         index, step = self.index, wide // 2
         size = np.diff(first)
@@ -263,9 +338,15 @@ class Search:
         full = np.flatnonzero(cut[1:] > cut[:-1])
         if not len(full):
             return
+        words = at[known]
+        seen = set()
+        for where, which in postings(words, np.repeat(np.arange(len(begin)), np.diff(cut)), doc):
+            for a, item in zip(where.tolist(), items[which].tolist(), strict=True):
+                d = int(doc[a])
+                seen.add((a, item))
+                self._confirm(out, lo + d, item, h, int(begin[a]), min(int(begin[a]) + wide, int(first[d + 1])), int(first[d]), int(first[d + 1]))
         latent = np.zeros((len(begin), index.vectors.shape[1]), np.float32)
         energy = np.zeros(len(begin))
-        words = at[known]
         for a in range(0, len(full), 4096):  # blocks without known words lie between; they stay zero
             f = full[a : a + 4096]
             part = words[cut[f[0]] : cut[f[-1] + 1]]
@@ -288,12 +369,14 @@ class Search:
                 here = items[block : block + 4096]
                 i, k = np.nonzero(v @ index.latent[here].T >= COSINE)
                 for c in range(0, len(i), 1 << 16):
-                    self._candidates(out, lo, h, first, doc[w], begin[w], ids, wide, i[c : c + (1 << 16)], here[k[c : c + (1 << 16)]])
+                    self._candidates(out, lo, h, first, doc[w], begin[w], ids, wide, i[c : c + (1 << 16)], here[k[c : c + (1 << 16)]], w, seen)
 
-    def _candidates(self, out: dict, lo: int, h: np.ndarray, first: np.ndarray, doc: np.ndarray, begin: np.ndarray, ids: np.ndarray, wide: int, i: np.ndarray, item: np.ndarray) -> None:
+    def _candidates(self, out: dict, lo: int, h: np.ndarray, first: np.ndarray, doc: np.ndarray, begin: np.ndarray, ids: np.ndarray, wide: int, i: np.ndarray, item: np.ndarray, block: np.ndarray, seen: set[tuple[int, int]]) -> None:
         """Of windows near a passage, those that cover enough of its weight are held against it."""
         shared = (self._member(item, ids[i]) * self.square[ids[i]]).sum(1)
         for n in np.flatnonzero(shared >= COVER * self.index.energy[item] - 1e-9):
+            if (int(block[i[n]]), int(item[n])) in seen:
+                continue
             d, a = int(doc[i[n]]), int(begin[i[n]])
             self._confirm(out, lo + d, int(item[n]), h, a, min(a + wide, int(first[d + 1])), int(first[d]), int(first[d + 1]))
 

@@ -1,5 +1,6 @@
 """Operators against brute force, on small tables with odd rows."""
 
+import collections
 import random
 import re
 import zlib
@@ -321,6 +322,60 @@ def test_every_passage_is_fitted(spark):
     assert len(index.known) == 4 * 5400 and np.linalg.norm(index.vectors, axis=1).min() > 0
 
 
+def test_copies_among_thousands_of_passages(spark):
+    r = np.random.default_rng(11)
+    share = 1 / np.arange(1, 6001)
+    prose = lambda n: [f"v{k}" for k in r.choice(6000, n, p=share / share.sum())]
+    items = [prose(n) for n in r.integers(15, 60, 3000)]
+    rows, want = [], {}
+    for d in range(900):
+        i, words = int(r.integers(3000)), prose(int(r.integers(20, 200)))
+        p = list(items[i])
+        if d % 3 == 1:  # one of three words is another, but not in the answer
+            for k in range(0, int(len(p) * 0.7), 3):
+                p[k] = f"other{d}"
+        if d % 3 < 2:
+            at = int(r.integers(len(words)))
+            words[at:at] = p
+            want[d] = i
+        rows.append((d, " ".join(words), "en", "a", 0))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {g["doc_id"]: set(g["item_ids"]) for g in decontaminate.contamination(docs(spark, rows), bench).collect()}
+    # Copies with fewer than COVER of the passage's weight are not looked for; no verbatim one is so.
+    n = collections.Counter(w for row in rows for w in row[1].split())
+    square = lambda w: (max(0, np.log(decontaminate.COMMON * n.total() / max(n[w], 1))) + decontaminate.FLOOR) ** 2
+    light = set()
+    for d, i in want.items():
+        both = collections.Counter(items[i]) & collections.Counter(rows[d][1].split())
+        if sum(map(square, both.elements())) < decontaminate.COVER * sum(map(square, items[i])):
+            light.add(d)
+    assert len(light) < 10 and all(d % 3 == 1 for d in light)
+    assert [d for d in want if want[d] not in got[d] and d not in light] == []
+    assert sum(bool(got[d]) for d in got if d not in want) == 0
+
+
+def test_stretches_of_both_kinds(monkeypatch):
+    """Dense and sparse sums, in small parts, give what adding up plainly gives."""
+    r = np.random.default_rng(5)
+    square = np.append(r.random(50) * 9, 0.0)
+    items = [r.integers(0, 50, n) for n in (3, 8, 20, 8, 30)]
+    doc, words = np.sort(r.integers(0, 6, 40)), r.integers(0, 50, 90)
+    block = np.sort(r.integers(0, 40, 90))
+    for many in (1, 60):  # so many items that the sums are sparse
+        for held in (1, 7, 1 << 20):
+            monkeypatch.setattr(decontaminate.Postings, "HELD", held)
+            postings = decontaminate.Postings(items * many, square, 50)
+            got = [(int(b), int(i)) for bs, its in postings(words, block, doc) for b, i in zip(bs, its)]
+            want = set()
+            for b in range(40):
+                for i in range(5 * many):
+                    indexed = [w for w in range(50) if i in postings.owner[postings.first[w] : postings.first[w + 1]]]
+                    near = [w for w, k in zip(words, block) if b - 1 <= k <= b + 2 and doc[k] == doc[b]]
+                    if near and sum(square[w] for w in near if w in indexed) >= postings.need[i]:
+                        want.add((b, i))
+            assert len(got) == len(set(got)) and set(got) == {(b, i) for b, i in want}
+
+
 # Language.
 
 
