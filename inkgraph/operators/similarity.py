@@ -10,7 +10,7 @@ the whole sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgraph.functions.text import jaccard, word_set
@@ -102,27 +102,59 @@ def _linked() -> Column:
     return holds("la", "tb") | holds("lb", "ta")
 
 
+def _class_sources(of: DataFrame, classes: DataFrame, after: int, upto: int) -> DataFrame:
+    """(source, target, score, path, other, nth): of each pair of classes, its notes ``after`` < nth <= ``upto``
+    by path, with the class their partners are in."""
+    ends = [of.select("source", "target", "score", F.col("source").alias("rep"), F.col("target").alias("other"))]
+    ends.append(of.where("source <> target").select("source", "target", "score", F.col("target").alias("rep"), F.col("source").alias("other")))
+    every = ends[0].unionAll(ends[1]).join(classes.select("rep", "path"), "rep")
+    nth = F.row_number().over(Window.partitionBy("source", "target").orderBy("path"))
+    return every.withColumn("nth", nth).where(F.col("nth") <= upto).where(F.col("nth") > after).select("source", "target", "score", "path", "other", "nth")
+
+
+def _partners(sources: DataFrame, classes: DataFrame) -> DataFrame:
+    """(source, target, score): each of the notes with all later ones of its partners' class."""
+    b = classes.select(F.col("rep").alias("other"), F.col("path").alias("pb"))
+    met = sources.select("path", "other", "score").join(b, "other").where(F.col("path") < F.col("pb"))
+    return met.select(F.col("path").alias("source"), F.col("pb").alias("target"), "score")
+
+
 def suggest_links(notes: DataFrame, threshold: float = 0.1, k: int = 10) -> DataFrame:
     """(source, target, score): the k most similar pairs of notes that are not linked yet.
 
     Pairs of classes are scored first. They are expanded to notes by falling score, in steps of
-    distinct scores, only until k unlinked pairs are found.
+    distinct scores, only until k unlinked pairs are found; within a step by the first note of a pair,
+    one note of each pair of classes, then two, four and so on, only while a later one could still
+    come before the k-th pair found. So copies cost one row each unless their pairs are linked.
     """
     scratch = Scratch(notes.sparkSession, "suggest")
     pairs = scratch.keep(class_pairs(notes, threshold).select("source", "target", _rounded(F.col("score")).alias("score")), "pairs")
     classes = scratch.keep(set_classes(notes).where("n_words > 0"), "classes")
     ends = notes.select("path", F.col("title").alias("t"), F.col("links").alias("l"))
+    best = (F.desc("score"), F.col("source"), F.col("target"))
 
-    def open_pairs(of: DataFrame) -> DataFrame:
-        a = classes.select(F.col("rep").alias("ra"), F.col("path").alias("pa"))
-        b = classes.select(F.col("rep").alias("rb"), F.col("path").alias("pb"))
-        met = of.join(a, F.col("ra") == F.col("source")).join(b, F.col("rb") == F.col("target"))
-        met = met.where((F.col("source") != F.col("target")) | (F.col("pa") < F.col("pb")))
-        met = met.select(F.least("pa", "pb").alias("source"), F.greatest("pa", "pb").alias("target"), "score")
+    def unlinked(met: DataFrame) -> DataFrame:
         ea = ends.select(F.col("path").alias("source"), F.col("t").alias("ta"), F.col("l").alias("la"))
         eb = ends.select(F.col("path").alias("target"), F.col("t").alias("tb"), F.col("l").alias("lb"))
         return met.join(ea, "source").join(eb, "target").where(~_linked()).select("source", "target", "score")
 
+    def expanded(of: DataFrame) -> DataFrame:
+        """The first k unlinked pairs of these pairs of classes."""
+        top, after, upto = None, 0, 1
+        while True:
+            sources = scratch.keep(_class_sources(of, classes, after, upto), "sources")
+            found = unlinked(_partners(sources, classes))
+            top = scratch.keep((found if top is None else top.unionAll(found)).orderBy(*best).limit(k), "top")
+            kth = top.agg(F.count("*").alias("n"), F.max_by(F.struct("score", "source"), F.struct(-F.col("score"), "source", "target")).alias("last")).head()
+            of = sources.where(F.col("nth") == upto)
+            if kth["n"] == k:
+                last = kth["last"]
+                of = of.where((F.col("score") > last["score"]) | ((F.col("score") == last["score"]) & (F.col("path") < last["source"])))
+            of = scratch.keep(of.select("source", "target", "score"), "of")
+            if of.isEmpty():
+                return top
+            after, upto = upto, 2 * upto
+
     # Classes of several notes pair up within themselves at a score of 1.
     twins = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
     within = twins.select(F.col("rep").alias("source"), F.col("rep").alias("target"), F.lit(1.0).alias("score")) if threshold <= 1 else None
@@ -135,9 +167,9 @@ def suggest_links(notes: DataFrame, threshold: float = 0.1, k: int = 10) -> Data
         bound = rest.orderBy(F.desc("score")).limit(k).agg(F.min("score")).head()[0]
         if bound is None:
             break
-        step = scratch.keep(open_pairs(rest.where(F.col("score") >= bound)).orderBy(F.desc("score"), "source", "target").limit(k), "step")
+        step = expanded(rest.where(F.col("score") >= bound))
         got = step if got is None else got.unionAll(step)
         n, below = n + step.count(), bound
     if got is None:
         return every.limit(0)
-    return got.orderBy(F.desc("score"), "source", "target").limit(k)
+    return got.orderBy(*best).limit(k)

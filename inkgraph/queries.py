@@ -176,7 +176,6 @@ sc AS (SELECT source, target, CASE WHEN na > 0 AND nb > 0 THEN (c::FLOAT / (na +
 SELECT source, sc.target AS target, round(f::DOUBLE, 6) AS score FROM sc JOIN n a ON a.path = source JOIN n b ON b.path = sc.target WHERE f >= 0.1::FLOAT
   AND NOT EXISTS (SELECT 1 FROM link l WHERE l.src = sc.source AND contains(b.title, l.target)) AND NOT EXISTS (SELECT 1 FROM link l WHERE l.src = sc.target AND contains(a.title, l.target))
 ORDER BY 3 DESC, 1, 2 LIMIT 10""",
-    on=("_mini",),
 )
 _DOCS = "WITH raw AS (" + duckdb(DOCS) + "), n AS (SELECT path, coalesce(content, '') AS content FROM raw)"
 
@@ -243,7 +242,7 @@ _both(
     lambda c, s: O.chain(c) + _CONTEXT + f"SELECT path, context FROM ctx WHERE path = '{NOTE[s]}'",
 )
 _BUNDLE = "SELECT n.path, '**PageRank:** ' || printf('%.4f', round(r, 4)) || chr(10) || '---' || chr(10) || context || chr(10) AS section FROM n JOIN ctx USING (path) JOIN p10 USING (path)"
-_both(lambda g, s: g.bundle(), "export_all", lambda c, s: O.chain(c) + O.pagerank() + _CONTEXT + _BUNDLE, on=("_mini",))
+_both(lambda g, s: g.bundle(), "export_all", lambda c, s: O.chain(c) + O.pagerank() + _CONTEXT + _BUNDLE)
 _both(
     lambda g, s: g.bundle(TAG[s]),
     "scan_filtered",

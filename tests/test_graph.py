@@ -1,5 +1,7 @@
 """Graph operators on hand-built notes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,29 @@ def test_suggestions_expand_copies(spark):
     g = made(spark, {f"n{i}.md": "some shared words here" for i in range(5)} | {"m.md": "[[n0]] other words shared"})
     got = g.suggest(0.2, 3).collect()
     assert [(r["source"], r["target"], r["score"]) for r in got] == [("n0.md", "n1.md", 1.0), ("n0.md", "n2.md", 1.0), ("n0.md", "n3.md", 1.0)]
+
+
+def test_suggestions_are_the_first_unlinked_pairs(spark):
+    """Against all pairs, with classes whose first notes are linked to many others of theirs."""
+    r = random.Random(4)
+    texts = ["some shared words here", "some shared words there", "other shared things", "alone"]
+    raw = {}
+    for i in range(60):
+        links = "".join(f" [[{r.choice(['n', 'n0', 'n1', 'n2', 'n17'])}]]" for _ in range(2)) if i % 10 < 3 else ""
+        raw[f"n{i:02}.md"] = r.choice(texts) + links
+    g = made(spark, raw)
+    notes = {x["path"]: (x["title"], [y["target"] for y in x["links"]]) for x in g.notes.collect()}
+    words = {x["path"]: set(x["words"]) for x in similarity.word_sets(g.notes).collect()}
+    linked = lambda a, b: any(t in notes[b][0] for t in notes[a][1])
+    pairs = [(a, b, len(words[a] & words[b]) / len(words[a] | words[b])) for a in words for b in words if a < b and words[a] & words[b]]
+    want = sorted((-round(x, 6), a, b) for a, b, x in pairs if x >= 0.1 and not linked(a, b) and not linked(b, a))
+    for k in (1, 10, 300, 5000):
+        assert [(-x["score"], x["source"], x["target"]) for x in g.suggest(0.1, k).collect()] == [(pytest.approx(x, abs=2e-6), a, b) for x, a, b in want[:k]], k
+
+
+def test_copies_are_not_all_paired(spark):
+    """A class of n notes is expanded to fewer than n pairs for each note taken of it."""
+    classes = spark.createDataFrame([("a", f"{i:05}") for i in range(5000)], "rep string, path string")
+    of = spark.createDataFrame([("a", "a", 1.0)], "source string, target string, score double")
+    sources = similarity._class_sources(of, classes, 0, 1)
+    assert [x["path"] for x in sources.collect()] == ["00000"] and similarity._partners(sources, classes).count() == 4999
