@@ -7,6 +7,13 @@ template of n bigrams needs a unit of n * t / (2 - t) to n * (2 - t) / t bigrams
 templates out of these bounds are not compared, and a unit too short for all of them is not even
 normalised. A unit that shares no bigram with any template is left out by one set lookup.
 
+With ``inline``, notices inside longer lines, wrapped over lines or in comment blocks are units too:
+in what lines and paragraphs that match leave of the text, a run of words of a template's size around
+each of its anchors, where the anchor stands in the template. Anchors are so many of a template's
+bigrams, those with the longest words, that no run can reach the threshold without one; the best runs
+that don't overlap count. Words put in or left out between the anchors and the rest shift a run, so
+such a notice is found if the run at any one of its anchors still reaches the threshold.
+
 All of it is one narrow projection of built-in expressions: no shuffle, no user function. The
 templates are a table of constants in the plan.
 
@@ -17,6 +24,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -63,15 +71,82 @@ def bounds(size: int, threshold: float) -> tuple[float, float]:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
+def anchors(text: str, threshold: float) -> list[tuple[str, int]]:
+    """Bigrams of a template with their places in its words; a unit without any stays under the threshold."""
+    own, words = bigrams(text), normalised(text)
+    least = math.ceil(bounds(len(own), threshold)[0] - 1e-9)
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    by_length = sorted(own, key=lambda g: -max(map(len, g.split())))
+    return [(g, pairs.index(g)) for g in by_length[: len(own) - least + 1]]
+
+
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+#: A word that stands for what has matched already.
+_GONE = "\u01c1"
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _inline(text: Column, threshold: float, templates: dict[str, str]) -> Column:
+    """(start, m) of the runs of words in ``text`` that match a template, in the order of the text."""
+    names = sorted(templates)
+    at: dict[str, list[tuple[int, int]]] = {}
+    for k, name in enumerate(names):
+        for gram, place in anchors(templates[name], threshold):
+            at.setdefault(gram, []).append((k, place))
+    # Where an anchor is, so is the longer of its words.
+    telling = sorted({max(gram.split(), key=len) for gram in at})
+    telling = [w for w in telling if not any(o in w for o in telling if o != w)]
+    entries = F.create_map(*[x for gram, es in at.items() for x in (F.lit(gram), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("place")) for k, p in es]))])
+    own = F.array(*[F.array(*[F.lit(g) for g in bigrams(templates[n])]) for n in names])
+    long = F.array(*[F.lit(len(normalised(templates[n])) - 1) for n in names])
+    name_of = F.array(*[F.lit(n) for n in names])
+    empty = F.array().cast("array<struct<start:int,m:struct<minus:double,name:string>>>")
+
+    def scored(pairs: Column, x: Column) -> Column:
+        begin, end = F.greatest(x["start"], F.lit(0)), x["start"] + long[x["k"]]
+        def score(grams: Column) -> Column:
+            common = F.size(F.array_intersect(grams, own[x["k"]]))
+            return F.struct((-2.0 * common / (F.size(grams) + F.size(own[x["k"]]))).alias("minus"), name_of[x["k"]].alias("name"), begin.alias("start"), end.alias("end"))
+        return _let(F.array_distinct(F.slice(pairs, begin + 1, end - begin)), score)
+
+    def runs(pairs: Column) -> Column:
+        hits = F.filter(F.transform(pairs, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda h: h["g"].isin(list(at)))
+        starts = F.flatten(F.transform(hits, lambda h: F.transform(entries[h["g"]], lambda e: F.struct((h["i"] - e["place"]).alias("start"), e["k"].alias("k")))))
+        return F.array_sort(F.filter(F.transform(F.array_distinct(starts), lambda x: scored(pairs, x)), lambda r: -r["minus"] >= threshold))
+
+    def apart(found: Column) -> Column:
+        """Of overlapping runs the best."""
+        none = F.array().cast("array<struct<minus:double,name:string,start:int,end:int>>")
+        # Runs of n bigrams that only touch share a word: the bigram between two notices is in neither.
+        clash = lambda r, x: (r["start"] <= x["end"]) & (x["start"] <= r["end"])
+        return F.aggregate(found, none, lambda got, x: F.when(F.exists(got, lambda r: clash(r, x)), got).otherwise(F.concat(got, F.array(x))))
+
+    in_order = lambda got: F.array_sort(F.transform(got, lambda r: F.struct(r["start"].alias("start"), F.struct(r["minus"].alias("minus"), r["name"].alias("name")).alias("m"))))
+
+    def gated(low: Column) -> Column:
+        some = F.lit(False)
+        for w in telling:
+            some = some | low.contains(w)
+        return F.when(some, _let(_words(low), lambda w: _let(_pairs(w), lambda p: in_order(apart(runs(p)))))).otherwise(empty)
+
+    return _let(F.lower(text), gated)
+
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES, inline: bool = False) -> DataFrame:
     """doc_id, license (of the best unit), score, n_matches, found for every row of ``docs``.
 
     ``found`` lists unit number, licence and score of all units that match, in the order of the text:
-    lines first, then paragraphs of several lines.
+    lines first, then paragraphs of several lines, then with ``inline`` the runs of words.
     """
     table = [(name, bigrams(text)) for name, text in sorted(templates.items())]
     limits = [bounds(len(g), threshold) for _, g in table]
@@ -90,8 +165,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str
         return F.when(F.exists(grams, lambda g: g.isin(known)), F.array_min(F.array(*scores)))
 
     def of_unit(unit: Column) -> Column:
-        words = F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
-        pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+        words = _words(unit)
+        pairs = lambda w: F.array_distinct(_pairs(w))
         # A unit of n characters has fewer than n / 2 bigrams. How many are different shows only in the set.
         enough = F.char_length(unit) > 2 * least
         return F.when(enough, _let(words, lambda w: F.when(F.size(w) > least, _let(pairs(w), lambda g: F.when(F.size(g) <= most, best(g))))))
@@ -103,6 +178,16 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str
     matched = F.filter(
         F.transform(units, lambda u, i: F.struct(i.alias("unit"), of_unit(u).alias("m"))), lambda x: x["m"].isNotNull()
     )
+    if inline:
+        def left(found: Column) -> Column:
+            """The text with a word in place of each unit found."""
+            of = lambda some: F.transform(F.filter(found, some), lambda x: F.get(units, x["unit"]))
+            whole, single = of(lambda x: x["unit"] >= F.size(lines)), of(lambda x: x["unit"] < F.size(lines))
+            less = F.aggregate(whole, text, lambda t, p: F.replace(t, p, F.lit(_GONE)))
+            return F.array_join(F.transform(F.split(less, "\n"), lambda x: F.when(F.array_contains(single, x), F.lit(_GONE)).otherwise(x)), "\n")
+
+        runs = lambda found: F.transform(_inline(F.when(F.size(found) > 0, left(found)).otherwise(text), threshold, templates), lambda x, i: F.struct((F.size(units) + i).alias("unit"), x["m"].alias("m")))
+        matched = _let(matched, lambda found: F.concat(found, runs(found)))
     got = docs.select(F.col("doc_id"), matched.alias("found"))
     top = F.array_min(F.transform("found", lambda x: x["m"]))
     return got.select(

@@ -93,7 +93,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence notices of all documents."""
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), inline=True)
 
 
 SQL["op10_license_scan"] = licenses.SQL

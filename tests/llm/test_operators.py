@@ -555,5 +555,27 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_inside_other_text(spark):
+    gpl, mit = licenses.TEMPLATES["GPL-3.0"].split(), licenses.TEMPLATES["MIT grant"].split()
+    block = lambda mark: "\n".join([f"{mark} The tool", mark, *[f"{mark} " + " ".join(mit[i : i + 9]) for i in range(0, len(mit), 9)], mark, f"{mark} no warranty of any kind, whoever asks"])
+    texts = {
+        "This text was released under the MIT License by its authors in 2020.": ["MIT"],
+        "Some prose before it, and then more. " + " ".join(gpl[:7]) + "\n" + " ".join(gpl[7:]) + " More prose comes after it in the same line.": ["GPL-3.0"],
+        block("#"): ["MIT grant"],
+        block("//"): ["MIT grant"],
+        "Parts are licensed under CC BY 4.0. Other parts of this text were released under the MIT License.": ["CC-BY-4.0", "MIT"],
+        licenses.TEMPLATES["LGPL-3.0"] + "\nMost of the work was released under the MIT License, some was not.": ["LGPL-3.0", "MIT"],
+        "Released under the MIT License.": ["MIT"],
+        "The license of the software is not known to any person under the sun.": [],
+        "": [],
+    }
+    df = docs(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)] + [(900, None, "en", "a", 0)])
+    got = {g["doc_id"]: g for g in licenses.scan(df, inline=True).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        found = [x.split(":")[1] for x in got[i]["found"].split(",") if x]
+        assert found == want and got[i]["n_matches"] == len(want), (t, got[i])
+    assert got[900]["found"] == "" and got[900]["license"] is None
+
+
 def test_all_ten_are_registered():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 11))
