@@ -21,8 +21,7 @@ items and ``BLOCK_WORDS`` words, each searched in a pass of its own; the SVD is
 of the block.
 
 Defined cases: null and empty texts and passages match nothing; an empty benchmark contaminates
-nothing; repeated rows repeat their result (with more than one block of passages, rows of equal
-doc_id are reported once, together); equal passages are all reported; other columns are
+nothing; repeated rows repeat their result; equal passages are all reported; other columns are
 ignored.
 """
 
@@ -407,28 +406,22 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending), best_share for every row of ``docs`` (doc_id, text)."""
-    parts = []
-    for k, block in enumerate(_blocks(benchmark.select("item_id", "text"))):
+    whole = docs.select(F.col("doc_id").cast("long"), "text", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_share"))
+    blocks = _blocks(benchmark.select("item_id", "text"))
+    for k, block in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, block))
+        # Each row carries what was found so far to the next block; the last one needs no texts.
+        kept = ["doc_id", "text"] if k < len(blocks) - 1 else ["doc_id"]
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, kept=kept) -> Iterator[pa.RecordBatch]:
             search = Search(shared.value)
             for batch in batches:
                 found = search(Texts(batch.column(1)))
-                ids = [sorted(shared.value.item_ids[i] for i in found.get(d, ())) for d in range(batch.num_rows)]
-                best = [max(found[d].values()) if d in found else 0.0 for d in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=["doc_id", "item_ids", "best_share"])
-
-        got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, "doc_id long, item_ids array<long>, best_share double")
-        parts.append(got.withColumn("_k", F.lit(k)))
-    if len(parts) == 1:
-        whole = parts[0]
-    else:
-        # Each block's pass gives a row for each document; they meet by doc_id.
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionAll(p)
-        whole = whole.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("best_share").alias("best_share"))
+                ids = [sorted(old + [shared.value.item_ids[i] for i in found.get(d, ())]) for d, old in enumerate(batch.column(2).to_pylist())]
+                best = [max(old, *found[d].values()) if d in found else old for d, old in enumerate(batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*kept, "item_ids", "best_share"])
+
+        whole = whole.mapInArrow(find, "doc_id long, " + "text string, " * (len(kept) - 1) + "item_ids array<long>, best_share double")
     return whole.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "best_share")
 
 

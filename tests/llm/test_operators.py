@@ -302,6 +302,17 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert len(got) == len(rows) and all(want[d] in got[d] for d in want if d % 8 != 1) and all(not got[d] or d in want for d in got)
 
 
+def test_blocks_keep_rows_apart(spark, monkeypatch):
+    items, _, _ = planted(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    ids = [1, 1, 1, None, None, 2]
+    rows = [(i, " ".join(items[k]) if k is not None else "clean", "en", "a", 0) for i, k in zip(ids, [4, 4, None, 5, 6, 7])]
+    result = lambda: sorted(map(repr, decontaminate.contamination(docs(spark, rows), bench).collect()))
+    one = result()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 8)
+    assert len(one) == 6 and result() == one
+
+
 def test_word_vectors_are_singular_vectors(spark):
     items, _, _ = planted(2)
     rows = [(i, " ".join(w)) for i, w in items.items()]
