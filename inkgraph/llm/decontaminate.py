@@ -53,7 +53,7 @@ HELD_WORDS = 1 << 15
 def word_hashes(text: str) -> np.ndarray:
     texts = Texts(pa.array([text]))
     starts, ends, _ = texts.words(0, 1, alnum=True)
-    return texts.hashes(starts, ends, spaced=False)
+    return texts.hashes(starts, ends)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -123,7 +123,7 @@ def _counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
             texts = Texts(batch.column(0))
             for lo, hi in texts.slices():
                 starts, ends, _ = texts.words(lo, hi, alnum=True)
-                at = number(texts.hashes(starts, ends, spaced=False))
+                at = number(texts.hashes(starts, ends))
                 total += np.bincount(at[at >= 0], minlength=len(known))
                 n += len(at)
         some = np.flatnonzero(total)
@@ -317,7 +317,7 @@ class Search:
             starts, ends, first = texts.words(lo, hi, alnum=True)
             if not len(starts):
                 continue
-            h = texts.hashes(starts, ends, spaced=False)
+            h = texts.hashes(starts, ends)
             at = self.number(h)
             known = np.flatnonzero(at >= 0)
             for (wide, items), postings in zip(self.levels, self.postings, strict=True):

@@ -12,7 +12,8 @@ prefix sums over n_ids; the pieces of a document that was cut are joined by comb
 
 Encoding goes through distinct words: the vocabularies read here never let a token lie across
 ASCII white space, so each distinct word is encoded once by the library and the ids of a text are
-gathered from its words. A worker keeps words by two independent 64-bit hashes.
+gathered from its words. A worker keeps words by two 64-bit keys and their bytes; a word whose keys
+are found but not its bytes is kept apart, so equal keys never give wrong ids.
 
 Defined cases: a null or empty text is a document with the end id only; null doc_ids come first,
 rows of equal doc_id are ordered by text, an empty table writes no block; other columns are ignored.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkgraph.llm.range_coder import BLOCK, decode_block, encode_block
-from inkgraph.llm.textbuf import Texts, U, mix
+from inkgraph.llm.textbuf import Texts, U, lane_of, lanes, lowered, run_hashes
 from inkgraph.plans.tables import Scratch
 
 END = 1
@@ -92,7 +93,10 @@ class WordEncoder:
     def _forget(self) -> None:
         self.keys, self.checks = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
         self.value = np.full(SLOTS, -1, np.int32)
-        self.flat, self.first, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
+        self.flat, self.first, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+        # The bytes of the words, one after the other, and where each begins.
+        self.bytes, self.begin = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int64)
+        self.apart: dict[bytes, int] = {}
 
     def _code(self, words: list[str]) -> list[list[int]]:
         """The ids of words. Words of Latin letters, but for points and commas after them, go
@@ -141,19 +145,42 @@ class WordEncoder:
             left[got] = False
             i, slot = i[left], (slot[left] + 1) & (SLOTS - 1)
 
-    def _learn(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
-        coded = self._code([texts.data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        sizes = np.array([len(c) for c in coded], np.int64)
-        need = self.used + int(sizes.sum())
-        if need > len(self.flat):
-            self.flat = np.resize(self.flat, max(need, 2 * len(self.flat)))
-        if self.n + len(coded) + 1 > len(self.first):
-            self.first = np.resize(self.first, max(self.n + len(coded) + 1, 2 * len(self.first)))
-        self.flat[self.used : need] = np.fromiter((i for c in coded for i in c), np.int32, need - self.used)
-        self.first[self.n + 1 : self.n + 1 + len(coded)] = self.used + np.cumsum(sizes)
-        self._put(h, check, np.arange(self.n, self.n + len(coded), dtype=np.int32))
-        self.n += len(coded)
-        self.used = need
+    def _learn(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """The numbers of new words, the runs of ``part``; without keys they are not entered in the table."""
+        raw = [part[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        coded = self._code([w.decode() for w in raw])
+        number = np.arange(self.n, self.n + len(raw), dtype=np.int32)
+        for values, first, sizes, kind in (("flat", "first", [len(c) for c in coded], np.int32), ("bytes", "begin", [len(w) for w in raw], np.uint8)):
+            at = getattr(self, first)
+            if self.n + len(raw) + 1 > len(at):
+                at = np.resize(at, max(self.n + len(raw) + 1, 2 * len(at)))
+                setattr(self, first, at)
+            at[self.n + 1 : self.n + 1 + len(raw)] = at[self.n] + np.cumsum(np.array(sizes, np.int64))
+            used, need = int(at[self.n]), int(at[self.n + len(raw)])
+            if need + 8 > len(getattr(self, values)):  # the last lane is read whole
+                setattr(self, values, np.resize(getattr(self, values), max(need + 8, 2 * len(getattr(self, values)))))
+            new = np.frombuffer(b"".join(raw), np.uint8) if kind is np.uint8 else np.fromiter((i for c in coded for i in c), np.int32, need - used)
+            getattr(self, values)[used:need] = new
+        if keys:
+            self._put(*keys, number)
+        self.n += len(raw)
+        return number
+
+    def _other(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Places of the words that are not those of their numbers, by their bytes."""
+        size, at = ends - starts, self.begin[number]
+        wrong = (number < 0) | (self.begin[number + 1] - at != size)
+        # Up to eight bytes are the check itself.
+        i = np.flatnonzero(~wrong & (size > 8))
+        if len(i):
+            here, known, k = lanes(part), np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,)), 0
+            while len(i):
+                left = size[i] - k
+                differ = lane_of(here, starts[i] + k, left) != lane_of(known, at[i] + k, left)
+                wrong[i[differ]] = True
+                k += 8
+                i = i[~differ & (left > 8)]
+        return np.flatnonzero(wrong)
 
     def _parted(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words with points and commas after a Latin letter as words of their own."""
@@ -171,17 +198,15 @@ class WordEncoder:
         s[place[cut] + 1], e[place[cut] + 1] = ends[cut] - tail[cut], ends[cut]
         return s, e, place[first]
 
-    def _hashes(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each word. Case is lost in all but special strings, which hold ``<|``."""
-        h, check = texts.hashes(starts, ends, lower=self.by_model), texts.hashes(starts, ends, other=True, lower=self.by_model)
-        if self.by_model:
-            part = texts.data[starts[0] : ends[-1]]
-            special = np.flatnonzero((part[:-1] == 0x3C) & (part[1:] == 0x7C))
-            if len(special):
-                w = np.unique(np.searchsorted(starts, special + starts[0], "right") - 1)
-                h[w] = mix(texts.hashes(starts[w], ends[w], lower=False, spaced=False))
-                check[w] = mix(texts.hashes(starts[w], ends[w], lower=False, spaced=False, other=True))
-        return h, check
+    def _folded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bytes in lower case if case is lost, but for special strings, which hold ``<|``."""
+        if not self.by_model:
+            return data
+        out = lowered(data)
+        special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        for w in np.unique(np.searchsorted(starts, special, "right") - 1).tolist():
+            out[starts[w] : ends[w]] = data[starts[w] : ends[w]]
+        return out
 
     def encode(self, texts: Texts, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, n + 1 offsets) of the documents lo..hi, the end id after each."""
@@ -190,29 +215,35 @@ class WordEncoder:
             coded = [e.ids + [END] for e in self.library.encode_batch(whole, add_special_tokens=False)]
             return np.array([i for c in coded for i in c], np.int32), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
         starts, ends, first = self._parted(texts, *texts.words(lo, hi))
-        number = np.zeros(len(starts), np.int32)
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for a in range(0, len(starts), WORDS_AT_ONCE):
-            s, e = starts[a : a + WORDS_AT_ONCE], ends[a : a + WORDS_AT_ONCE]
-            h, check = self._hashes(texts, s, e)
+            base = starts[a]
+            s, e = starts[a : a + WORDS_AT_ONCE] - base, ends[a : a + WORDS_AT_ONCE] - base
+            part = self._folded(texts.data[base : base + e[-1]], s, e)
+            h, check = run_hashes(part, s, e), lane_of(lanes(part), s, e - s)
+            long = np.flatnonzero(e - s > 8)
+            check[long] = run_hashes(part, s[long], e[long], other=True)
             n = self._find(h, check)
             new = np.flatnonzero(n < 0)
             if len(new):
                 if self.n + len(new) > SLOTS // 2:
-                    # Numbers given in this call must stay, so the words so far are coded anew.
                     self._forget()
-                    if a:
-                        return self.encode(texts, lo, hi)
                     new = np.arange(len(s))
                 _, one = np.unique(h[new] ^ (check[new] * U(0x9E3779B97F4A7C15)), return_index=True)
                 w = new[one]
-                self._learn(texts, s[w], e[w], h[w], check[w])
+                self._learn(part, s[w], e[w], (h[w], check[w]))
                 n[new] = self._find(h[new], check[new])
-            number[a : a + WORDS_AT_ONCE] = n
-        at = self.first[number]
-        sizes = self.first[number + 1] - at
-        off = np.concatenate([[0], np.cumsum(sizes)])[first]
+            for w in self._other(part, s, e, n).tolist():
+                word = part[s[w] : e[w]].tobytes()
+                if word not in self.apart:
+                    self.apart[word] = int(self._learn(part, s[w : w + 1], e[w : w + 1], None)[0])
+                n[w] = self.apart[word]
+            at = self.first[n]
+            sizes.append(self.first[n + 1] - at)
+            ids.append(self.flat[_ranges(at, sizes[-1])])
+        off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[first]
         # The end id goes in after the last id of each text.
-        return np.insert(self.flat[_ranges(at, sizes)], off[1:], END).astype(np.int32), off + np.arange(len(off))
+        return np.insert(np.concatenate(ids), off[1:], END).astype(np.int32), off + np.arange(len(off))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

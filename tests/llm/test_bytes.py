@@ -44,6 +44,52 @@ def test_words_over_slices_and_chunks():
     assert np.intersect1d(sets[-1], sets[-2]).size == 1
 
 
+def thue_morse(n, swap=False):
+    return "".join("ab"[(k.bit_count() + swap) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_no_collision_by_construction(n):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2^64, whatever the base."""
+    from tokenizers import Tokenizer
+
+    pair = [thue_morse(n), thue_morse(n, True)]
+    t = Texts(pa.array(pair))
+    for width in (1, 2):
+        one, other = shingle_sets(Texts(pa.array([f"{w} end" for w in pair])), width)
+        assert one.tolist() != other.tolist()
+    lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    ids, off = WordEncoder(vocabulary("word_bpe_49k.json")).encode(t, 0, 2)
+    assert [ids[off[i] : off[i + 1] - 1].tolist() for i in range(2)] == [lib.encode(w, add_special_tokens=False).ids for w in pair]
+
+
+def test_words_with_equal_keys(monkeypatch):
+    """Words whose keys are equal are told apart by their bytes."""
+    from tokenizers import Tokenizer
+
+    from inkgraph.llm import token_files
+
+    monkeypatch.setattr(token_files, "run_hashes", lambda data, starts, ends, other=False: np.full(len(starts), 5, np.uint64))
+    lib, enc = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), WordEncoder(vocabulary("word_bpe_49k.json"))
+    texts = ["a ab abc abcdefgh abcdefghi abcdefghj", "abcdefghij abcdefghi x" + "y" * 40 + " x" + "y" * 39 + "z ab", "abcdefghj <|endoftext|> <|ENDOFTEXT|>"]
+    for _ in range(2):
+        ids, off = enc.encode(Texts(pa.array(texts)), 0, 3)
+        assert [ids[off[i] : off[i + 1] - 1].tolist() for i in range(3)] == [lib.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_word_table_starts_afresh(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from inkgraph.llm import token_files
+
+    monkeypatch.setattr(token_files, "SLOTS", 64)
+    monkeypatch.setattr(token_files, "WORDS_AT_ONCE", 20)
+    lib, enc = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), WordEncoder(vocabulary("word_bpe_49k.json"))
+    texts = [" ".join(f"w{i % 97}x" for i in range(a, a + 300)) for a in (0, 50)]
+    ids, off = enc.encode(Texts(pa.array(texts)), 0, 2)
+    assert [ids[off[i] : off[i + 1] - 1].tolist() for i in range(2)] == [lib.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_shingles():
     s = list(shingle_sets(Texts(pa.array(["A b c", "a B c d", "a", None, "", " \n"])), 2))
     assert [len(x) for x in s] == [2, 3, 1, 0, 0, 0] and set(s[0]) <= set(s[1]) and not set(s[2]) & set(s[1])
