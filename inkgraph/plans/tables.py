@@ -13,7 +13,7 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (single-machine tests) is a folder of our own made.
+    Only where that setting is empty and Spark runs on this machine alone is a folder of our own made.
     """
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if named:
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError(f"{SETTING} must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="inkgraph-")
     spark.sparkContext.setCheckpointDir(made)
     return made

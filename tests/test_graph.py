@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkgraph.corpus import KB, MINI_NOTES, corpus
 from inkgraph.graph import KnowledgeGraph
 from inkgraph.operators import graph, render, resolve, similarity
+from inkgraph.plans import components, sieve
 from inkgraph.plans.components import connected_components
 from inkgraph.plans.prefix import numbered, prefix_sums
 from inkgraph.plans.tables import Scratch
@@ -119,6 +120,32 @@ def test_components_long_chain_and_hub(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_components_with_many_hubs(spark, monkeypatch):
+    """Hubs, whose minima are broadcast, next to small groups and chains of hubs."""
+    monkeypatch.setattr(components, "LEAST_HUB", 3)
+    r = random.Random(4)
+    edges = [(r.randrange(40) * 10, r.randrange(4000)) for _ in range(1500)] + [(5000 + i, 5001 + i) for i in range(50)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"))
+    assert {r["id"]: r["component"] for r in got.collect()} == label
+
+
+def test_sieve(spark):
+    rows = spark.createDataFrame([(i % 50 if i % 7 else None, str(i % 3), i) for i in range(300)], "a long, b string, _word long")
+    keys = spark.createDataFrame([(3, "1"), (None, "2"), (9, "0"), (9, "0")], "a long, b string")
+    for bits in (1 << 26, 64):
+        concerned, clear = sieve.split(rows, ["a", "b"], keys, bits)
+        assert concerned.columns == clear.columns == rows.columns
+        x, y = ([tuple(g) for g in df.collect()] for df in (concerned, clear))
+        assert sorted(map(str, x + y)) == sorted(str(tuple(g)) for g in rows.collect())
+        wanted = {(3, "1"), (None, "2"), (9, "0")}
+        assert not any(g[:2] in wanted for g in y) and (bits == 64 or {g[:2] for g in x} <= wanted)
+    assert sieve.split(rows, ["a", "b"], keys.limit(0))[0].count() == 0
+
+
 def test_prefix_sums_and_numbers(spark):
     rows = [(g, i // 7, i, (i * 37) % 11) for g in ("x", None) for i in range(60)]
     df = spark.createDataFrame(rows, "g string, b long, i long, v long")
