@@ -13,10 +13,14 @@
    against the other outsiders. So every candidate pair is either inside a component or has been
    tried: the components are exactly those of all confirmed candidates.
 
+Texts are shuffled only where a candidate needs them: a bitmap of the ids (``plans.sieve``) is looked up
+where the texts lie.
+
 Defined cases: null and empty texts (or texts without words) have an empty set and are linked with
-nothing; repeated rows of one doc_id are one node and each keeps a row; rows with a null doc_id
-link nothing unless they share a class with an id; an empty table gives an empty result; other
-columns of the input are ignored.
+nothing; the rows of one doc_id are one document, in one component whatever their texts, and each keeps
+a row; rows with a null doc_id link nothing unless they share a class with an id; texts of any length are
+taken whole, their sets compared as sorted arrays; an empty table gives an empty result; other columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgraph.llm.textbuf import Texts, U, mix, shingle_sets
+from inkgraph.plans import sieve
 from inkgraph.plans.components import connected_components
 from inkgraph.plans.tables import Scratch
 
@@ -37,6 +42,8 @@ PERMS, ROWS, BITS = 128, 4, 4
 SKETCH = "doc_id long, n_shingles long, fp binary, sig array<long>, bands array<long>"
 #: Members and queries of one block of the full-set comparison.
 BLOCK_MEMBERS, BLOCK_QUERIES = 128, 512
+#: Members of a bucket whose signatures one task compares with each other.
+BLOCK_SIGNATURES = 2048
 #: Standard deviations of the estimate that a candidate may lie under the threshold.
 SLACK = 5.0
 
@@ -72,8 +79,8 @@ def least_same(threshold: float, perms: int, bits: int, slack: float = SLACK) ->
     return max(0, int(np.floor(perms * p - slack * np.sqrt(perms * p * (1 - p)))))
 
 
-def sketches(docs: DataFrame, width: int, perms: int = PERMS, rows: int = ROWS, bits: int = BITS, seed: int = 7) -> DataFrame:
-    """Step 1, for the columns doc_id and text."""
+def sketches(docs: DataFrame, width: int, perms: int = PERMS, rows: int = ROWS, bits: int = BITS, carry: tuple[str, ...] = (), seed: int = 7) -> DataFrame:
+    """Step 1, for the columns doc_id and text; the ``carry`` columns ride along."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -97,11 +104,11 @@ def sketches(docs: DataFrame, width: int, perms: int = PERMS, rows: int = ROWS,
                 sigs.append(pack(low, bits).view(np.int64))
                 bands.append(mix(key + np.arange(len(key), dtype=np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "fp", "sig", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "fp", "sig", "bands", *carry],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), "text", *carry).mapInArrow(make, SKETCH + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry))
 
 
 def _same_lanes(a: str, b: str, perms: int, bits: int) -> Column:
@@ -186,10 +193,16 @@ def _confirmed_in_blocks(queries: DataFrame, members: DataFrame, texts: DataFram
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
+def _in_blocks(rows: DataFrame, blocks: str, own: str, met: str) -> DataFrame:
+    """``rows``, dealt into their bucket's blocks by ``own``, once for each block that ``met`` may name."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    return rows.withColumn(own, F.pmod(F.xxhash64("doc_id"), F.col(blocks))).withColumn(met, every)
+
+
 def near_duplicate_classes(
-    docs: DataFrame, width: int = 5, percent: int = 80, perms: int = PERMS, rows: int = ROWS, bits: int = BITS
+    docs: DataFrame, width: int = 5, percent: int = 80, perms: int = PERMS, rows: int = ROWS, bits: int = BITS, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept and ``carry`` for every row of ``docs`` (doc_id, text).
 
     ``width`` is the words of a shingle and ``percent`` the least similarity of a link. A pair at
     a similarity of 0.8 shares no band with a chance of (1 - 0.8^4)^32, below 1e-7.
@@ -203,17 +216,25 @@ def near_duplicate_classes(
         gone.append(at)
         return table
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        return keep(docs.where("doc_id is not null").join(ids.distinct(), "doc_id", "left_semi"), "texts")
-
     enough = least_same(percent / 100, perms, bits)
     near = _same_lanes("sig", "sig2", perms, bits) >= enough
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = keep(sketches(docs, width, perms, rows, bits), "sketch")
-    classes = keep(sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
 
-    # One row of each class: its signature and bands are functions of the set, so any row serves.
-    one = sketch.where("fp is not null").join(classes, "fp").where("doc_id = rep")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """The texts of these documents, and a few more."""
+        return keep(sieve.split(docs.select("doc_id", "text").where("doc_id is not null"), ["doc_id"], ids)[0].distinct(), "texts")
+
+    # Signature and bands are functions of the set, so those of any row of a class serve.
+    sketch = keep(sketches(docs, width, perms, rows, bits, carry), "sketch")
+    classes = sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = keep(classes, "classes")
+    got = keep(sketch.join(classes.select("fp", "rep"), "fp", "left").select("doc_id", "n_shingles", "rep", *carry), "rows")
+    # The classes of a document that has several belong together, and an empty text of it with them.
+    several = got.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n"), F.count("rep").alias("full"))
+    several = keep(several.where("least != most or (full > 0 and full < n)").select("doc_id", "least"), "several")
+    same = got.join(several, "doc_id").where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+
+    one = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "sig", "bands")
     keyed = one.select("doc_id", F.explode("bands").alias("key"))
     mates = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = keep(keyed.join(mates.hint("merge"), "key"), "members")
@@ -227,21 +248,24 @@ def near_duplicate_classes(
     met = met.join(sigs, "doc_id").join(sig2, "doc2").where(near)
     pairs = keep(met.select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct(), "pairs")
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    links = keep(_confirmed(pairs, texts, width, percent), "links")
+    links = keep(_confirmed(pairs, texts, width, percent).unionAll(same).distinct(), "links")
     labels = keep(connected_components(links, scratch), "labels")
 
     # The buckets that still hold several components.
     comp = F.coalesce("component", "doc_id").alias("comp")
     here = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", comp)
     largest = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
-        F.max_by("comp", F.struct("c", -F.col("comp"))).alias("to"), F.count("*").alias("k")
+        F.max_by("comp", F.struct("c", -F.col("comp"))).alias("to"), F.count("*").alias("k"), F.ceil(F.sum("c") / BLOCK_SIGNATURES).alias("_nb")
     )
-    open_ = keep(here.join(largest.where("k > 1").select("key", "to"), "key").join(sigs, "doc_id"), "open")
-    outside = open_.where("comp != to")
-    inside = open_.where("comp = to").select(F.col("key").alias("key2"), F.col("sig").alias("sig2"))
-    asked = keep(outside.join(inside, (F.col("key") == F.col("key2")) & near, "left_semi").select("doc_id", "to", "comp").distinct(), "asked")
-    other = outside.select(F.col("key").alias("key2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"))
-    among = outside.join(other, (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("comp2")) & near, "left_semi")
+    open_ = keep(here.join(largest.where("k > 1").select("key", "to", "_nb"), "key").join(sigs, "doc_id"), "open")
+    outside = _in_blocks(open_.where("comp != to"), "_nb", "_i", "_j")
+    other = _in_blocks(open_, "_nb", "_j", "_i").select(
+        F.col("_i").alias("_i2"), F.col("_j").alias("_j2"), F.col("key").alias("key2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2")
+    )
+    block = (F.col("key") == F.col("key2")) & (F.col("_i") == F.col("_i2")) & (F.col("_j") == F.col("_j2")) & near
+    asked = outside.join(other, block & (F.col("comp2") == F.col("to")), "left_semi")
+    asked = keep(asked.select("doc_id", "to", "comp").distinct(), "asked")
+    among = outside.join(other, block & (F.col("comp2") != F.col("to")) & (F.col("comp") != F.col("comp2")), "left_semi")
     among = keep(among.select("to", "doc_id", "comp").distinct(), "among")
     # A component that is one document is asked as a pair.
     grown = labels.select(F.col("component").alias("to")).distinct()
@@ -262,8 +286,26 @@ def near_duplicate_classes(
         named = named.select("id", F.coalesce("_c", "component").alias("component"))
         labels = keep(named.unionAll(above.join(labels, "id", "left_anti").select("id", "component")), "labels")
 
-    got = sketch.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").join(labels, F.col("rep") == F.col("id"), "left")
+    got = got.join(several, "doc_id", "left").withColumn("rep", F.coalesce("rep", "least")).join(labels, F.col("rep") == F.col("id"), "left")
     own = F.coalesce("component", "rep", "doc_id")
-    result, _ = scratch.keep_at(got.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept")), "result")
+    result, _ = scratch.keep_at(got.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), *carry), "result")
     scratch.drop(*gone)
     return result
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near-duplicates, with the columns of ``docs``: the one of least
+    doc_id. Of rows equal in doc_id and text one stays.
+
+    Rows are known by two hashes of doc_id and text, null or not. Only rows that go, or that others
+    repeat, and the few that share a bit of the bitmap with them, are shuffled.
+    """
+    k1, k2 = "_k1", "_k2"
+    keys = [F.xxhash64(F.lit(k), "doc_id", "text").alias(name) for k, name in ((1, k1), (2, k2))]
+    found = near_duplicate_classes(docs.select("doc_id", "text", *keys), width, percent, carry=(k1, k2))
+    decided = found.groupBy(k1, k2).agg(F.bool_or("kept").alias("_stays"), F.count("*").alias("_n")).where("not _stays or _n > 1")
+    decided = Scratch(docs.sparkSession, "neardup").keep(decided.select(k1, k2, "_stays"), "decided")
+    # Rows ride along whole, so that no name of their columns can clash. Repeats meet before the shuffle.
+    concerned, clear = sieve.split(docs.select(F.struct("*").alias("_row"), *keys), [k1, k2], decided)
+    stay = concerned.dropDuplicates([k1, k2]).join(decided, [k1, k2], "left").where("coalesce(_stays, true)")
+    return clear.unionByName(stay.drop("_stays")).select("_row.*")

@@ -196,6 +196,7 @@ def brute_classes(rows, width, percent):
 def test_near_duplicates(spark, width, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 16)
     monkeypatch.setattr(near_dup, "BLOCK_QUERIES", 8)
+    monkeypatch.setattr(near_dup, "BLOCK_SIGNATURES", 4)
     r = random.Random(width)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, n = [], 0
@@ -230,6 +231,28 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dup.near_duplicate_classes(docs(spark, []), 2).count() == 0
 
 
+def test_one_component_for_a_document(spark):
+    """The rows of one doc_id are one document, whatever their texts."""
+    base = [f"w{i}" for i in range(60)]
+    t1, t2, t3 = " ".join(base), " ".join(f"v{i}" for i in range(60)), " ".join(f"v{i}" for i in range(58)) + " x y"
+    rows = [(3, t1), (5, t1), (5, t2), (9, t3), (5, ""), (5, None), (7, "alone it is"), (7, ""), (8, ""), (None, t2), (None, "nobody's own")]
+    got = near_dup.near_duplicate_classes(docs(spark, [(i, t, "en", "a", 0) for i, t in rows]), 2).collect()
+    assert len(got) == len(rows)
+    assert {(g["doc_id"], g["component_id"]) for g in got} == {(3, 3), (5, 3), (9, 3), (7, 7), (8, 8), (None, 3), (None, None)}
+    assert all(g["kept"] == (g["doc_id"] == g["component_id"]) for g in got if g["component_id"] is not None)
+
+
+def test_deduplicated(spark):
+    base = [f"w{i}" for i in range(60)]
+    t1, t2, t3 = " ".join(base), " ".join(base[:-1] + ["x"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, t1), (3, t1), (5, t2), (6, t3), (6, t3), (6, t3), (None, t3), (None, "of no id"), (None, "of no id"), (8, None), (8, None), (9, ""), (10, "single")]
+    df = clashing(docs(spark, [(i, t, "en", "a", 0) for i, t in rows])).withColumn("_k1", F.lit("x")).withColumn("_row", F.lit(1)).withColumn("_word", F.lit(1))
+    got = near_dup.deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted(((g["doc_id"], g["text"]) for g in got.collect()), key=str) == sorted([(3, t1), (6, t3), (None, "of no id"), (8, None), (9, ""), (10, "single")], key=str)
+    assert near_dup.deduplicated(docs(spark, [])).count() == 0
+
+
 def test_estimate():
     assert near_dup.estimate(128, 128, 4) == 1 and abs(near_dup.estimate(8, 128, 4)) < 1e-9
     r = np.random.default_rng(0)
