@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkgraph.llm import decontaminate, language, mixing
-from inkgraph.llm.near_dup import near_duplicate_classes
+from inkgraph.llm.near_dup import deduplicated
 from inkgraph.llm.queries import vocabulary
 from inkgraph.llm.registry import table
 from inkgraph.llm.token_files import written_and_read
-from inkgraph.plans.tables import Scratch, free_name
+from inkgraph.plans.tables import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,11 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
-    classes = near_duplicate_classes(docs)
-    # Only the documents that go need to meet the texts.
-    name = free_name(docs, "_gone")
-    gone = classes.where("not kept").select(F.col("doc_id").alias(name))
-    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    return deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
