@@ -41,6 +41,22 @@ def prefix_sums(
     return got.drop("_base", "_first", "_in", "_at", *[f"_k{i}" for i in range(len(keys))])
 
 
+def numbered_in_parts(rows: DataFrame, group: str, mark: str, out: str) -> DataFrame:
+    """``rows`` plus ``out``: 0, 1, ... within each group, in the order of ``mark``, which holds numbers
+    that ``monotonically_increasing_id`` gave and that were written with the rows.
+
+    Rows stay where they are, but for those of a group in one part, counted there first.
+    """
+    part = F.shiftright(mark, 33)
+    earlier = Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col(group).alias("_g"), part.alias("_q")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_g", "_q", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(group, part).orderBy(mark).rowsBetween(Window.unboundedPreceding, -1)
+    got = rows.withColumn("_at", F.count(F.lit(1)).over(inside))
+    got = got.join(counts, F.col(group).eqNullSafe(F.col("_g")) & (part == F.col("_q")))
+    return got.withColumn(out, (F.col("_base") + F.col("_at")).cast("long")).drop("_g", "_q", "_base", "_at")
+
+
 def numbered(rows: DataFrame, order: str, out: str, scratch: Scratch) -> DataFrame:
     """``rows`` plus ``out``: 0, 1, ... in the order of a column, without bringing rows together.
 
