@@ -5,11 +5,14 @@ sum of sizes (blocks of the key's range, about sqrt(n) of them) tells which rows
 cut. A source whose target exceeds its size is repeated in whole epochs first, and only the rest of
 the target is cut; the document at the cut is taken for exactly the words that are left.
 
-Only doc_id, source and size take part in the sort; texts stay where they are.
+Only doc_id, source and size take part in the sort. For the mix itself, the sums are reduced to the
+place of each source's cut, in the order of the key, and how much of the row there is taken: a row
+knows by its own key on which side of the cut it lies, so texts are not shuffled at all.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its
 own, last in order; rows with equal doc_id are told apart by their texts' hash and then are
-interchangeable; an empty table gives an empty result.
+interchangeable (if the cut falls among them, they are numbered as they come); a text of any length is
+taken whole or cut after a word; an empty table gives an empty result; other columns ride along.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgraph.plans.prefix import prefix_sums
+from inkgraph.plans.prefix import numbered_in_parts, prefix_sums
 from inkgraph.plans.tables import Scratch
 
 WEIGHTS = (5, 2, 1)
@@ -56,6 +59,10 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def _key(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
 def _text_hash() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
@@ -66,12 +73,12 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     The mix takes ``epochs`` whole copies and, if ``last_words`` is above 0, one copy cut after that
     many words.
     """
-    return _mixed(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _text_hash().alias("_th")), weights, most, seed).drop("_th", "_key")
+    return _mixed(docs, weights, most, seed, Scratch(docs.sparkSession, "mix")).drop("_th", "_key", "_before", "_cut")
 
 
-def _mixed(sized: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = Scratch(sized.sparkSession, "mix").keep(sized.withColumn("_key", key), "sizes")
+def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, scratch: Scratch) -> DataFrame:
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), _text_hash().alias("_th"), _key(seed).alias("_key"))
+    sized = scratch.keep(sized, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(sources.select("source", "source_size"), weights, most)
     blocks = sources.select(F.col("source").alias("_s"), F.ceil(F.sqrt("_rows")).cast("long").alias("_blocks"))
@@ -84,38 +91,52 @@ def _mixed(sized: DataFrame, weights: tuple[int, ...], most: int, seed: int) ->
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     cut = budget - F.col("epochs") * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), cut - F.col("_before"))).cast("long")
-    placed = placed.withColumn("epochs", epochs).withColumn("last_words", last)
+    placed = placed.withColumn("epochs", epochs).withColumn("_cut", cut)
+    placed = placed.withColumn("last_words", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_cut") - F.col("_before"))).cast("long"))
     # At the cap nothing is left after the whole epochs, so no document is taken more than ``most`` times.
-    return placed.withColumn("taken", F.col("epochs") * F.col("size") + F.col("last_words")).drop("_blocks", "_block", "_before")
+    return placed.withColumn("taken", F.col("epochs") * F.col("size") + F.col("last_words")).drop("_blocks", "_block")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: whole copies, and the cut one up to a word's end.
+def _cuts(placed: DataFrame) -> DataFrame:
+    """One row a source: its epochs, the key and text hash of the last row that the cut takes something
+    of, and how many words the rows equal to it give together (no key: there is nothing to cut)."""
+    at = F.when((F.col("size") > 0) & (F.col("_before") < F.col("_cut")), F.struct("_key", "_th", -F.col("_before")))
+    cuts = placed.groupBy(F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max("_cut").alias("_words"), F.max(at).alias("_at"))
+    return cuts.select("_source", "_epochs", F.col("_at._key").alias("_last"), F.col("_at._th").alias("_lh"), (F.col("_words") + F.col("_at.col3")).alias("_words"))
 
-    Copies are decided on sizes alone; the texts move once, to meet their row of that plan. Rows
-    equal in doc_id, source and text are numbered on both sides, as any of them may be any other.
-    """
-    same = Window.partitionBy("doc_id", "source", "_th")
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: whole copies, and the cut one up to a word's end."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    cuts = scratch.keep(_cuts(_mixed(docs, weights, most, seed, scratch)), "cuts")
     # The row rides along whole, so that no name of its columns can clash.
-    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "source", _text_hash().alias("_th"))
-    plan = _mixed(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _text_hash().alias("_th")), weights, most, seed)
-    plan = plan.withColumn("_n", F.row_number().over(same.orderBy("taken"))).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_th").alias("_h"), F.col("_n").alias("_m"), "size", "epochs", "last_words"
-    )
-    plan = plan.withColumnsRenamed({"size": "_size", "epochs": "_epochs", "last_words": "_last"}).where("_size > 0 and _epochs + _last > 0")
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_h")) & (F.col("_n") == F.col("_m"))
-    rows = keyed.withColumn("_n", F.row_number().over(same.orderBy(F.lit(0)))).join(plan, on)
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs") + (F.col("_last") > 0).cast("long"))))
-    cut = (F.col("_copy") > F.col("_epochs")) & (F.col("_last") < F.col("_size"))
+    rows = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.struct("*").alias("_row"), "source", _key(seed).alias("_k"), "text")
+    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    # Texts are hashed only where the keys are equal.
+    side = F.when(F.col("_last").isNull() | (F.col("_k") > F.col("_last")), 1).when(F.col("_k") < F.col("_last"), -1)
+    side = side.when(_text_hash() < F.col("_lh"), -1).when(_text_hash() > F.col("_lh"), 1).otherwise(0)
+    rows = rows.withColumn("_side", side)
+
+    whole = rows.where("_side != 0").withColumn("_copies", F.col("_epochs") + (F.col("_side") < 0).cast("long")).where("_copies > 0")
+    copies = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("_copy")
+    whole = whole.select("_row", copies(F.col("_copies"))).select("_row")
+
+    # The rows at the cut: one in each source, or those equal to it, numbered without being brought together.
+    place = F.monotonically_increasing_id()
+    edge = scratch.keep(rows.where("_side = 0").select("_row", "source", "_epochs", "_words", words(F.col("text")).alias("_size"), place.alias("_m")), "edge")
+    nth = numbered_in_parts(edge, "source", "_m", "_nth")
+    took = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_words") - F.col("_nth") * F.col("_size"))).cast("long")
+    edge = nth.withColumn("_took", took).where("_epochs > 0 or _took > 0")
+    edge = edge.select("_row", "_epochs", "_took", "_size", copies(F.col("_epochs") + (F.col("_took") > 0).cast("long")))
+    cut = (F.col("_copy") > F.col("_epochs")) & (F.col("_took") < F.col("_size"))
     # The first words with the white space between them; split's limit leaves the rest in one piece.
-    tail = F.element_at(F.split(F.ltrim(F.col("_row.text"), F.lit(SPACES)), SPACE_CLASS + "+", (F.col("_last") + 1).cast("int")), -1)
+    tail = F.element_at(F.split(F.ltrim(F.col("_row.text"), F.lit(SPACES)), SPACE_CLASS + "+", (F.col("_took") + 1).cast("int")), -1)
     head = F.rtrim(F.expr("substring(_row.text, 1, char_length(_row.text) - char_length(_tail))"), F.lit(SPACES))
-    out = rows.withColumn("_tail", F.when(cut, tail)).withColumn("_text", F.when(cut, head).otherwise(F.col("_row.text")))
+    edge = edge.withColumn("_tail", F.when(cut, tail)).withColumn("_text", F.when(cut, head).otherwise(F.col("_row.text")))
     row = F.col("_row").withField("text", F.col("_text"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.char_length("_text").cast(docs.schema["n_chars"].dataType))
-    return out.select(row.alias("_row")).select("_row.*")
+    return whole.unionByName(edge.select(row.alias("_row"))).select("_row.*")
 
 
 RESULT = ("doc_id", "size", "source_size", "target", "taken")

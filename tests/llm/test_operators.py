@@ -129,6 +129,17 @@ def test_mixing(spark, seed):
     assert mixing.mix_sizes(docs(spark, [])).count() == 0 and mixing.mixed_documents(docs(spark, [])).count() == 0
 
 
+def test_cut_among_equal_rows(spark):
+    """The cut falls among rows that nothing tells apart, in a source of one document."""
+    rows = [(1, "a b  c d\te", "en", "a", 0)] * 40 + [(2, " ".join("x" for _ in range(70)), "en", "b", 0)] + [(3, "y " * 60, "en", None, 0)]
+    taken = collections.Counter()
+    for g in mixing.mix_sizes(docs(spark, rows)).collect():
+        taken[g["doc_id"]] += g["taken"]
+    mixed = mixing.mixed_documents(docs(spark, rows).repartition(5)).collect()
+    assert {i: n for i, n in taken.items() if n} == {i: sum(len(m["text"].split()) for m in mixed if m["doc_id"] == i) for i in {m["doc_id"] for m in mixed}}
+    assert len({m["text"] for m in mixed if m["doc_id"] == 1}) <= 2 and all(m["n_chars"] in (0, len(m["text"])) for m in mixed)
+
+
 # Chat.
 
 
