@@ -27,6 +27,7 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgraph.llm.textbuf import Texts, U
+from inkgraph.llm.worker import kept
 
 RANK, OVERSAMPLE, PASSES = 64, 16, 2
 COVER, COSINE = 0.25, 0.4
@@ -409,19 +411,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     whole = docs.select(F.col("doc_id").cast("long"), "text", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_share"))
     blocks = _blocks(benchmark.select("item_id", "text"))
     for k, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, block))
+        shared, name = docs.sparkSession.sparkContext.broadcast(build_index(docs, block)), uuid.uuid4().hex
         # Each row carries what was found so far to the next block; the last one needs no texts.
-        kept = ["doc_id", "text"] if k < len(blocks) - 1 else ["doc_id"]
+        columns = ["doc_id", "text"] if k < len(blocks) - 1 else ["doc_id"]
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared, kept=kept) -> Iterator[pa.RecordBatch]:
-            search = Search(shared.value)
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, name=name, columns=columns) -> Iterator[pa.RecordBatch]:
+            search = kept(name, lambda: Search(shared.value))
             for batch in batches:
                 found = search(Texts(batch.column(1)))
                 ids = [sorted(old + [shared.value.item_ids[i] for i in found.get(d, ())]) for d, old in enumerate(batch.column(2).to_pylist())]
                 best = [max(old, *found[d].values()) if d in found else old for d, old in enumerate(batch.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*kept, "item_ids", "best_share"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*columns, "item_ids", "best_share"])
 
-        whole = whole.mapInArrow(find, "doc_id long, " + "text string, " * (len(kept) - 1) + "item_ids array<long>, best_share double")
+        whole = whole.mapInArrow(find, "doc_id long, " + "text string, " * (len(columns) - 1) + "item_ids array<long>, best_share double")
     return whole.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "best_share")
 
 
@@ -429,10 +431,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no passage of the benchmark is found."""
     left = docs
     for block in _blocks(benchmark.select("item_id", "text")):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, block))
+        shared, name = docs.sparkSession.sparkContext.broadcast(build_index(docs, block)), uuid.uuid4().hex
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = Search(shared.value)
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            search = kept(name, lambda: Search(shared.value))
             for batch in batches:
                 found = search(Texts(batch.column("text")))
                 ok = np.ones(batch.num_rows, bool)

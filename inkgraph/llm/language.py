@@ -20,6 +20,7 @@ equal code lengths go to the first language by code point; other columns are ign
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgraph.llm.textbuf import Texts
+from inkgraph.llm.worker import kept
 from inkgraph.plans.tables import free_name
 
 ORDER = 3
@@ -201,9 +203,10 @@ def _grams(texts: Texts, symbol: np.ndarray, off: np.ndarray, a: int, b: int) ->
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte for every row of ``docs`` (doc_id, text)."""
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = shared.value
+        frozen = kept(name, lambda: shared.value)
         for batch in batches:
             texts, n = Texts(batch.column(1)), batch.num_rows
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -237,11 +240,11 @@ def identified(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> D
     needs more than ``most_bits`` bits a byte for (encoded data, scripts never seen). Rows are
     filtered where they are scored, so nothing is joined back.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     letters = free_name(docs, "_ok")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = shared.value
+        frozen = kept(name, lambda: shared.value)
         for batch in batches:
             texts = Texts(batch.column("text"))
             ok = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)

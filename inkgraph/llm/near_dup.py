@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgraph.llm.textbuf import Texts, U, mix, shingle_sets
+from inkgraph.llm.worker import let_go
 from inkgraph.plans import sieve
 from inkgraph.plans.components import connected_components
 from inkgraph.plans.tables import Scratch
@@ -85,6 +86,7 @@ def sketches(docs: DataFrame, width: int, perms: int = PERMS, rows: int = ROWS,
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        let_go()
         factors = _factors(perms, seed)
         for batch in batches:
             texts = Texts(batch.column(1))
@@ -130,6 +132,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(shingle_sets(Texts(batch.column(2)), width), shingle_sets(Texts(batch.column(3)), width), strict=True)):
@@ -259,13 +262,11 @@ def near_duplicate_classes(
     )
     open_ = keep(here.join(largest.where("k > 1").select("key", "to", "_nb"), "key").join(sigs, "doc_id"), "open")
     outside = _in_blocks(open_.where("comp != to"), "_nb", "_i", "_j")
-    other = _in_blocks(open_, "_nb", "_j", "_i").select(
-        F.col("_i").alias("_i2"), F.col("_j").alias("_j2"), F.col("key").alias("key2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2")
-    )
+    met = [F.col(c).alias(f"{c}2") for c in ("_i", "_j", "key", "comp", "sig")]
+    inside, others = (_in_blocks(open_.where(side), "_nb", "_j", "_i").select(*met) for side in ("comp = to", "comp != to"))
     block = (F.col("key") == F.col("key2")) & (F.col("_i") == F.col("_i2")) & (F.col("_j") == F.col("_j2")) & near
-    asked = outside.join(other, block & (F.col("comp2") == F.col("to")), "left_semi")
-    asked = keep(asked.select("doc_id", "to", "comp").distinct(), "asked")
-    among = outside.join(other, block & (F.col("comp2") != F.col("to")) & (F.col("comp") != F.col("comp2")), "left_semi")
+    asked = keep(outside.join(inside, block, "left_semi").select("doc_id", "to", "comp").distinct(), "asked")
+    among = outside.join(others, block & (F.col("comp") != F.col("comp2")), "left_semi")
     among = keep(among.select("to", "doc_id", "comp").distinct(), "among")
     # A component that is one document is asked as a pair.
     grown = labels.select(F.col("component").alias("to")).distinct()

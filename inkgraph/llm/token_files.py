@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 
 from inkgraph.llm.range_coder import BLOCK, decode_block, encode_block
 from inkgraph.llm.textbuf import Texts, U, lane_of, lanes, lowered, run_hashes
+from inkgraph.llm.worker import kept, let_go
 from inkgraph.plans.tables import Scratch
 
 END = 1
 #: Twice the distinct words a worker keeps; when they are full it starts afresh.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 WORDS_AT_ONCE = 1 << 18
 SLICE_BYTES = 4 << 20
 FILE = "part int, block int, n_ids long, payload binary"
@@ -253,11 +254,6 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 # A block's index: for each document its id, whether it is null, ids in this block, and whether it
 # began in an earlier block or goes on in a later one.
 _ENTRY = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("null", "u1"), ("began", "u1"), ("goes_on", "u1")])
@@ -294,7 +290,7 @@ def write_token_files(docs: DataFrame, path: str, at: str, block: int = BLOCK) -
     """Write the ids of all of ``docs`` (doc_id, text) to the folder ``at``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = word_encoder(path), TaskContext.get().partitionId()
+        enc, part = kept((WordEncoder, path), lambda: WordEncoder(path)), TaskContext.get().partitionId()
         packer = _Packer(enc.size, block)
 
         def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -375,6 +371,7 @@ def token_file_digests(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files, read back from them."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part, block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids, entries = _decoded(payload.as_py())

@@ -14,13 +14,14 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgraph.llm.worker import kept
+
 CHUNK, OVERLAP = 32_768, 512
 #: Tokens after a splice that both encodings must share (fewer if the overlap ends before).
 AGREE = 8
@@ -64,11 +65,6 @@ class Encoder:
         return np.array(ids, np.int64), places[:, 0], places[:, 1]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def _stable(text: str, lo: int, hi: int) -> list[int]:
     """Positions in lo..hi of a space after a character that is no space."""
     found, at = [], text.find(" ", max(lo, 1), hi)
@@ -134,7 +130,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, chunk: int = CHU
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = kept((Encoder, path), lambda: Encoder(path))
         for batch in batches:
             sizes = np.zeros(batch.num_rows, np.int64)
             numbers = np.zeros(batch.num_rows, np.int64)
