@@ -131,11 +131,11 @@ def _counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word, n = rows["word"].to_numpy(), rows["n"].to_numpy()
     out = np.zeros(len(known), np.int64)
-    own = rows[rows["word"] >= 0]
-    out[own["word"]] = own["n"]
-    return out, int(rows.loc[rows["word"] < 0, "n"].sum())
+    out[word[word >= 0]] = n[word >= 0]
+    return out, int(n[word < 0].sum())
 
 
 def _numbers(text: str, number: Lookup) -> np.ndarray:

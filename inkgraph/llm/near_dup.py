@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,13 +164,14 @@ def _confirmed_in_blocks(queries: DataFrame, members: DataFrame, texts: DataFram
         (F.col("to") + 0).alias("to"), F.col("doc_id").alias("asked"), F.col("comp").alias("own"), F.col("text").alias("words"), every("_mb").alias("m"), dealt("_qb").alias("q")
     )
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        let_go()
         found = []
         if len(left) and len(right):
-            sets = list(shingle_sets(Texts(pa.array(left["text"], pa.string())), width))
+            sets = list(shingle_sets(Texts(left["text"]), width))
             sizes_, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes_)
-            ids, comps = left["doc_id"].tolist(), left["comp"].tolist()
+            ids, comps = left["doc_id"].to_pylist(), left["comp"].to_pylist()
             root: dict[int, int] = {}
 
             def find(c: int) -> int:
@@ -180,7 +180,7 @@ def _confirmed_in_blocks(queries: DataFrame, members: DataFrame, texts: DataFram
                     c = up
                 return c
 
-            for o, comp, own in zip(right["asked"].tolist(), right["own"].tolist(), shingle_sets(Texts(pa.array(right["words"], pa.string())), width), strict=True):
+            for o, comp, own in zip(right["asked"].to_pylist(), right["own"].to_pylist(), shingle_sets(Texts(right["words"]), width), strict=True):
                 if not len(own):
                     continue
                 at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
@@ -190,10 +190,10 @@ def _confirmed_in_blocks(queries: DataFrame, members: DataFrame, texts: DataFram
                     if x != y:
                         root[x] = y
                         found.append((max(o, ids[g]), min(o, ids[g])))
-        return pd.DataFrame(found, columns=["a", "b"])
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     keys = ["to", "m", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")
 
 
 def _in_blocks(rows: DataFrame, blocks: str, own: str, met: str) -> DataFrame:

@@ -35,4 +35,4 @@ def let_go() -> None:
     """Keep nothing."""
     if _KEPT:
         _KEPT.clear()
-    trim()
+        trim()
