@@ -10,10 +10,13 @@
    blocks. Candidates have a cosine of at least ``COSINE`` and share words of at least ``COVER`` of the
    passage's weight. Whatever its cosine, a window is a candidate if it and half a window to each
    side, room for a whole passage, share words of ``COVER`` of the passage's weight; an inverted
-   index of the passages' words gives these, all but the lightest words of a passage being in it.
-4. Around a candidate window, the longest common subsequence of words with the passage decides:
-   contaminated from ``VERBATIM`` of the passage on, and from ``PARAPHRASE`` on if the passage's answer
-   (its last sentence) is there too, again by common subsequence, at ``ANSWER``.
+   index of the passages' words gives these, all but the lightest words of a passage being in it. In
+   it the heaviest words of a passage are clipped, so that what is left of a verbatim copy, ``VERBATIM``
+   of its words or more, has ``COVER`` of the weight whichever words were changed.
+4. Around a candidate window, the longest common subsequence of words with the passage decides, in
+   stretches of ``STRETCH`` times its length: contaminated from ``VERBATIM`` of the passage on, and from
+   ``PARAPHRASE`` on if the passage's answer (its last sentence) is there too, again by common
+   subsequence, at ``ANSWER``.
 
 Candidates are confirmed where they are found, so no text moves. What is broadcast are the
 passages' word hashes and latent vectors: passages are taken in blocks of at most ``BLOCK_ITEMS``
@@ -21,8 +24,9 @@ items and ``BLOCK_WORDS`` words, each searched in a pass of its own; the SVD is
 of the block.
 
 Defined cases: null and empty texts and passages match nothing; an empty benchmark contaminates
-nothing; repeated rows repeat their result; equal passages are all reported; other columns are
-ignored.
+nothing, and no document gives no row; repeated rows repeat their result; equal passages are all
+reported; texts of any length are searched whole, about a million bytes at a time with their windows;
+other columns are ignored, or kept by ``clean_documents``.
 """
 
 from __future__ import annotations
@@ -43,11 +47,13 @@ RANK, OVERSAMPLE, PASSES = 64, 16, 2
 COVER, COSINE = 0.25, 0.4
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.8
 LEAST_WINDOW = 32
+#: In how many times the length of a passage its words must lie.
+STRETCH = 1.5
 #: The share of a passage's weight that may be left out of the inverted index, in its lightest words.
 LIGHT = 0.05
 #: Words more frequent than this share of all words weigh next to nothing.
 COMMON, FLOOR = 1e-3, 0.1
-BLOCK_ITEMS, BLOCK_WORDS = 50_000, 4_000_000
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 500_000
 #: Words whose products a task holds before it passes them on.
 HELD_WORDS = 1 << 15
 
@@ -143,6 +149,16 @@ def _numbers(text: str, number: Lookup) -> np.ndarray:
     return at[at >= 0]
 
 
+def _orthonormal(x: np.ndarray) -> np.ndarray:
+    """Orthonormal columns of the same span, by the small matrix of their products; twice, for accuracy."""
+    for _ in range(2):
+        values, turn = np.linalg.eigh((x.T @ x).astype(np.float64))
+        kept = values > 1e-10 * max(values[-1], 1e-30)
+        scale = np.where(kept, 1 / np.sqrt(np.where(kept, values, 1.0)), 0.0)
+        x = x @ (turn * scale).astype(x.dtype)
+    return x
+
+
 def _word_vectors(passages: DataFrame, known: np.ndarray, weight: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
     """The leading right singular vectors of the passages' TF-IDF rows, known words x rank.
 
@@ -151,7 +167,7 @@ def _word_vectors(passages: DataFrame, known: np.ndarray, weight: np.ndarray, ra
     """
     width = max(1, min(rank + OVERSAMPLE, len(known)))
     spark = passages.sparkSession
-    x = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(known), width)))[0]
+    x = _orthonormal(np.random.default_rng(seed).standard_normal((len(known), width), np.float32))
 
     def product(x: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((known, weight, x))
@@ -179,14 +195,14 @@ def _word_vectors(passages: DataFrame, known: np.ndarray, weight: np.ndarray, ra
                     yield flush(total)
 
         parts = passages.select("text").mapInArrow(part, "word long, v array<double>")
-        rows = parts.select("word", F.posexplode("v").alias("j", "x")).groupBy("word", "j").agg(F.sum("x").alias("x")).toArrow()
+        rows = parts.groupBy("word").agg(*[F.sum(F.col("v")[j]).cast("float").alias(f"v{j}") for j in range(width)]).toArrow()
         shared.destroy()
         z = np.zeros_like(x)
-        z[rows["word"].to_numpy(), rows["j"].to_numpy()] = rows["x"].to_numpy()
+        z[rows["word"].to_numpy()] = np.stack([rows[f"v{j}"].to_numpy() for j in range(width)], axis=1)
         return z
 
     for _ in range(PASSES):
-        x = np.linalg.qr(product(x))[0]
+        x = _orthonormal(product(x))
     values, turn = np.linalg.eigh(x.T @ product(x))
     return x @ turn[:, np.argsort(-values)[:rank]]
 
@@ -210,6 +226,24 @@ def build_index(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Index:
     return Index([i for i, _ in rows], hashes, [word_hashes(answer_of(t)) for _, t in rows], known, weight, energy, latent, vectors)
 
 
+def clipped(square: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The weights of a passage's distinct words, the heaviest cut down until no ``1 - VERBATIM`` of its
+    words have more than ``1 - COVER`` of the weight."""
+    order = np.argsort(-square, kind="stable")
+    value, n = square[order].astype(float), times[order]
+    many = max(1.0, np.floor((1 - VERBATIM) * n.sum() + 1e-9))
+    before = np.concatenate([[0], np.cumsum(n)[:-1]])
+    top = np.clip(many - before, 0, n)  # of the occurrences of each word, those among the heaviest
+    for _ in range(50):
+        most = (1 - COVER) / COVER * float(((n - top) * value).sum()) / many
+        if (top * value).sum() <= most * many * (1 + 1e-9):
+            break
+        value = np.minimum(value, most)
+    out = np.empty(len(value))
+    out[order] = value
+    return out
+
+
 class Postings:
     """Which of ``items`` (word numbers of each, ``square`` by word) hold a word, for all but their lightest words."""
 
@@ -217,21 +251,23 @@ class Postings:
     HELD = 1 << 20
 
     def __init__(self, items: list[np.ndarray], square: np.ndarray, n_words: int):
-        self.n, self.square = len(items), square
-        words, owners, self.need = [], [], np.zeros(len(items))
+        self.n = len(items)
+        words, owners, values, self.need = [], [], [], np.zeros(len(items))
         for i, x in enumerate(items):
             own, times = np.unique(x, return_counts=True)
-            part = times * square[own]
+            value = clipped(square[own], times)
+            part = times * value
             order = np.argsort(part, kind="stable")
             total = np.cumsum(part[order])
             light = int(np.searchsorted(total, LIGHT * total[-1], "right"))
             words.append(own[order[light:]])
+            values.append(value[order[light:]])
             owners.append(np.full(len(own) - light, i))
             # What is left out can bring no more than its own weight.
             self.need[i] = COVER * total[-1] - (total[light - 1] if light else 0.0) - 1e-9
         word, owner = np.concatenate(words), np.concatenate(owners)
         order = np.argsort(word, kind="stable")
-        self.owner = owner[order]
+        self.owner, self.value = owner[order], np.concatenate(values)[order]
         self.first = np.searchsorted(word[order], np.arange(n_words + 1))
 
     def __call__(self, words: np.ndarray, block: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -252,7 +288,7 @@ class Postings:
             if n.sum():
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[words[w]], n)
                 key = np.repeat(block[w] - lo, n) * self.n + self.owner[place]
-                found, item = self._stretches(key, np.repeat(self.square[words[w]], n), doc[lo:hi])
+                found, item = self._stretches(key, self.value[place], doc[lo:hi])
                 own = (found >= a - lo) & (found < b - lo)
                 yield found[own] + lo, item[own]
             a = b
@@ -387,14 +423,18 @@ class Search:
         if got >= 1.0:
             return
         near = h[max(lo, a - len(words)) : min(hi, b + len(words))]
-        share = common_subsequence(words, near) / len(words)
-        if share < PARAPHRASE or share <= got:
+        if common_subsequence(words, near) < max(PARAPHRASE, got) * len(words):
             return
-        if share < VERBATIM:
-            answer = self.index.answers[item]
-            if not len(answer) or common_subsequence(answer, near) < ANSWER * len(answer):
-                return
-        out.setdefault(doc, {})[item] = share
+        # Words strewn over a wider stretch are no copy.
+        step, wide, answer = max(1, len(words) // 8), int(np.ceil(STRETCH * len(words))) + 1, self.index.answers[item]
+        for at in range(0, max(1, len(near) - wide + step), step):
+            part = near[at : at + wide]
+            share = common_subsequence(words, part) / len(words)
+            if share < PARAPHRASE or share <= got:
+                continue
+            if share < VERBATIM and (not len(answer) or common_subsequence(answer, part) < ANSWER * len(answer)):
+                continue
+            out.setdefault(doc, {})[item] = got = share
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:

@@ -328,12 +328,77 @@ def test_decontamination(spark):
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 8)
-    monkeypatch.setattr(decontaminate.Search, "TABLE", 1)
     items, rows, want = planted(1)
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
-    got = {g["doc_id"]: set(g["item_ids"]) for g in decontaminate.contamination(docs(spark, rows), bench).collect()}
-    assert len(got) == len(rows) and all(want[d] in got[d] for d in want if d % 8 != 1) and all(not got[d] or d in want for d in got)
+    found = lambda: {g["doc_id"]: set(g["item_ids"]) for g in decontaminate.contamination(docs(spark, rows), bench).collect()}
+    one = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 8)
+    monkeypatch.setattr(decontaminate.Search, "TABLE", 1)
+    got = found()
+    assert got == one and len(got) == len(rows)
+    assert all(want[d] in got[d] for d in want) and all(not got[d] or d in want for d in got)
+
+
+def strewn(item, words):
+    """The largest share of a passage in any stretch of a text, by trying every one."""
+    wide = int(np.ceil(decontaminate.STRETCH * len(item))) + 1
+    return max(decontaminate.common_subsequence(np.array(item, np.uint64), np.array(words[k : k + wide], np.uint64)) for k in range(max(1, len(words) - wide + 1))) / len(item)
+
+
+@pytest.mark.parametrize("low,high", [(5, 10), (12, 30), (31, 80)])
+@pytest.mark.parametrize("own", [True, False])
+def test_decontamination_by_brute_force(spark, low, high, own):
+    """Copies in texts made of the benchmark's own words, and of others: verbatim, with some words
+    changed anywhere, and with many changed but the answer whole. Every pair of a text and a passage
+    is tried by brute force."""
+    r = random.Random(low + own)
+    items = [[r.randrange(1, 800) for _ in range(r.randint(low, high))] for _ in range(150)]
+    pool = [w for x in items for w in x] if own else [*range(1000, 6000)]
+    rows, plants = [], {}
+    for d in range(210):
+        words, kind, i = [r.choice(pool) for _ in range(r.randint(60, 200))], d % 7, r.randrange(150)
+        p = list(items[i])
+        quarter = max(1, len(p) // 4)
+        many = {1: 0.1, 2: 0.2, 3: 0.3, 4: 0.4, 5: 0.45}.get(kind, 0)
+        for k in r.sample(range(len(p) if kind < 3 else len(p) - quarter), int(many * len(p))):
+            p[k] = r.choice(pool)
+        if kind < 6:
+            at = r.randint(0, len(words))
+            words[at:at] = p
+            plants[d] = (i, kind)
+        rows.append((d, words))
+    name = lambda ws: " ".join(f"v{w}" for w in ws)
+    bench = spark.createDataFrame([(i, name(x)) for i, x in enumerate(items)], "item_id long, text string")
+    df = docs(spark, [(d, name(ws), "en", "a", 0) for d, ws in rows])
+    got = {g["doc_id"]: set(g["item_ids"]) for g in decontaminate.contamination(df, bench).collect()}
+    total, hit = collections.Counter(), collections.Counter()
+    for d, (i, kind) in plants.items():
+        total[kind] += 1
+        hit[kind] += i in got[d]
+    assert hit[0] == total[0], (hit, total)  # verbatim copies: all
+    assert all(hit[k] >= 0.9 * total[k] for k in total), (hit, total)
+    bags = [collections.Counter(x) for x in items]
+    verbatim = set()
+    for d, ws in rows:
+        here = collections.Counter(ws)
+        for i, x in enumerate(items):  # words in common bound the subsequence
+            if (here & bags[i]).total() >= decontaminate.VERBATIM * len(x) and strewn(x, ws) >= decontaminate.VERBATIM:
+                verbatim.add((d, i))
+    pairs = {(d, i) for d in got for i in got[d]}
+    assert len(verbatim & pairs) >= 0.98 * len(verbatim)
+    assert all(strewn(items[i], rows[d][1]) >= decontaminate.PARAPHRASE for d, i in pairs)
+
+
+def test_clipped_weights():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(r.integers(1, 40))
+        square, times = r.random(n) ** 8 * 50 + 0.01, r.integers(1, 4, n)
+        value = decontaminate.clipped(square, times)
+        assert (value <= square + 1e-12).all() and (value > 0).all()
+        each = np.sort(np.repeat(value, times))[::-1]
+        lost = int((1 - decontaminate.VERBATIM) * len(each) + 1e-9)
+        assert each[lost:].sum() >= (decontaminate.COVER - 1e-3) * each.sum()
 
 
 def test_blocks_keep_rows_apart(spark, monkeypatch):
@@ -414,9 +479,9 @@ def test_stretches_of_both_kinds(monkeypatch):
             want = set()
             for b in range(40):
                 for i in range(5 * many):
-                    indexed = [w for w in range(50) if i in postings.owner[postings.first[w] : postings.first[w + 1]]]
+                    indexed = {w: postings.value[postings.first[w] + k] for w in range(50) for k, o in enumerate(postings.owner[postings.first[w] : postings.first[w + 1]]) if o == i}
                     near = [w for w, k in zip(words, block) if b - 1 <= k <= b + 2 and doc[k] == doc[b]]
-                    if near and sum(square[w] for w in near if w in indexed) >= postings.need[i]:
+                    if near and sum(indexed[w] for w in near if w in indexed) >= postings.need[i]:
                         want.add((b, i))
             assert len(got) == len(set(got)) and set(got) == {(b, i) for b, i in want}
 
