@@ -18,29 +18,29 @@ DOCS = "SELECT 'doc/' || CAST(doc_id AS STRING) || '.md' AS path, text AS conten
 
 #: Small cases: repeated, typed, empty and ambiguous links, cycles, islands, quoting, odd metadata.
 MINI_NOTES = {
-    "kb/first.md": "This is the first note about Zig and knowledge bases. Zig is fast.\n",
-    "kb/second.md": "This is the second note about knowledge base systems. Knowledge is power.\n",
-    "kb/third.md": "This is the third node #advanced [[first.md]] [[meta_test.md]]\n",
-    "kb/meta_test.md": "---\nstatus: critical\npriority: high\ndate: 2026-04-07\n---\n# Metadata Test\n[[third.md]]",
-    "kb/typed_test.md": "---\nstatus: active\n---\n# Typed Test\n[[depends_on::meta_test.md]]\n[[relates_to::second.md]]\n#tag-one\n",
-    "cycle/File1.md": "[[File2]]",
-    "cycle/File2.md": "[[File3]]",
-    "cycle/File3.md": "[[File1]]",
-    "gc/island1.md": "island1\n[[island2]]",
-    "gc/island2.md": "island2\n[[island1]]",
-    "gc/node1.md": "node1\n[[node2]]",
-    "gc/node2.md": "node2\n[[node1]]",
-    "gc/orphan1.md": "orphan1",
+    "garden/basil.md": "Basil grows quickly in warm soil and warm light.\n",
+    "garden/compost.md": "Good compost keeps soil warm, and basil likes warm soil.\n",
+    "garden/thyme.md": "Thyme wants dry ground #herb [[basil.md]] [[beds.md]]\n",
+    "garden/beds.md": "---\nstatus: open\nseason: spring\nsown: 2025-03-20\n---\n# Which beds\n[[thyme.md]]",
+    "garden/pruning.md": "---\nstatus: active\n---\n# Pruning\n[[waits_for::beds.md]]\n[[gives_to::compost.md]]\n#late-summer\n",
+    "ring/Oak.md": "leads on to [[Elm]]",
+    "ring/Elm.md": "leads on to [[Ash]]",
+    "ring/Ash.md": "and back, [[Oak]]",
+    "lone/left.md": "my other half: [[right]]",
+    "lone/right.md": "and mine: [[left]]",
+    "lone/salt.md": "goes with [[pepper]]",
+    "lone/pepper.md": "never without [[salt]]",
+    "lone/hermit.md": "nobody comes here",
     "edge/alpha.md": "---\nstatus: draft\nsummary: First, of \"two\"\nnextPartOf: beta.md\nproblem: none\n---\n[[beta]] [[beta]] [[alpha]] [[missing one]] #x #y",
     "edge/beta.md": "---\npreviousPartOf: alpha.md, gamma , nowhere\nurl: https://example.com\nurl: last: wins\n---\n[[rel::alpha.md]] [[eta.m]] [[]] ##tag #a#b #t[[q]] text.",
-    "edge/gamma, comma.md": "Path with a comma [[supports::beta]] #solo [[a::b::c]] [[::File1]]",
+    "edge/gamma, comma.md": "Path with a comma [[supports::beta]] #solo [[a::b::c]] [[::Oak]]",
     "edge/blank.md": "",
     "edge/crlf.md": "---\r\nstatus: draft\r\nk:\r\n: no key\r\n---\r\nbody #one,#two. ## headé #café",
-    "edge/early.md": "---a: b---c [[File [with brackets]]] [[unclosed",
+    "edge/early.md": "---a: b---c [[Draft [second]]] [[never closed",
     "edge/open.md": "---\nkey: value\nno closing line #open",
-    "other/beta.md": "machine learning artificial intelligence algorithms",
-    "other/delta.md": "machine learning artificial intelligence neural networks",
-    "other/epsilon.md": "machine learning artificial intelligence networks [[delta.md]]",
+    "other/beta.md": "slow stews need patience onions and bones",
+    "other/delta.md": "slow stews need patience onions and barley dumplings",
+    "other/epsilon.md": "slow stews need patience onions and dumplings [[delta.md]]",
 }
 
 

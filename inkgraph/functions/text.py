@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that part words (fixed values).
-DELIMITERS = " \n\r\t.,!?;:()[]{}\"'#*-_/\\@<>"
+#: Runs of the characters that part words (fixed values).
 SPLIT = r"[ \n\r\t.,!?;:()\[\]{}\"'#*\-_/\\@<>]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -24,12 +24,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 CORPORA = {"": KB, "_mini": MINI}
-START, GOAL = {"": "Customer#000000001", "_mini": "typed_test"}, {"": "MIDDLE EAST", "_mini": "first.md"}
+START, GOAL = {"": "Customer#000000001", "_mini": "pruning"}, {"": "MIDDLE EAST", "_mini": "basil.md"}
 NEEDLE = {"": "NATION", "_mini": "eta"}
 NOTE = {"": "nation/NATION_1.md", "_mini": "edge/beta.md"}
-TITLE = {"": "ASIA", "_mini": "meta_test.md"}
+TITLE = {"": "ASIA", "_mini": "beds.md"}
 TAG, STATUS = {"": "debt", "_mini": "x"}, {"": "active", "_mini": "draft"}
-SIMILAR = {"": "ASIA", "_mini": "first.md"}
+SIMILAR = {"": "ASIA", "_mini": "basil.md"}
 
 
 def _both(make: Callable[[KnowledgeGraph, str], DataFrame], name: str, sql: Callable[[str, str], str] | None, on: tuple[str, ...] = ("", "_mini")) -> None:
@@ -324,14 +324,15 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add(
     "snapshot_diff",
-    """WITH o AS (SELECT user_id AS path, max(ts) AS mtime FROM events WHERE event_id % 2 = 0 GROUP BY user_id), c AS (SELECT user_id AS path, max(ts) AS mtime FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+    """WITH o AS (SELECT user_id AS path, max(ts) AS mtime FROM events WHERE ts <= (SELECT to_timestamp(avg(epoch(ts)))::TIMESTAMP FROM events) GROUP BY user_id), c AS (SELECT user_id AS path, max(ts) AS mtime FROM events GROUP BY user_id)
 SELECT event, path::VARCHAR AS path FROM (SELECT path, CASE WHEN c.mtime IS NULL THEN 'deleted' WHEN o.mtime IS NULL THEN 'created' WHEN c.mtime > o.mtime THEN 'updated' END AS event FROM o FULL JOIN c USING (path)) WHERE event IS NOT NULL""",
 )
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two snapshots of users' last events, as listings of files."""
+    """Users' last events half-way through and at the end, as two listings of files."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    half = ev.agg(F.timestamp_seconds(F.avg(F.unix_micros("ts") / 1e6)).alias("half"))
     last = lambda rows: rows.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.max("ts").alias("mtime"))
-    return source.snapshot_diff(last(ev.where("event_id % 2 = 0")), last(ev.where("event_id % 3 = 0")))
+    return source.snapshot_diff(last(ev.join(F.broadcast(half), F.col("ts") <= F.col("half")).drop("half")), last(ev))
 
 
 @_add(

@@ -1,6 +1,7 @@
 """Graph operators on hand-built notes."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,30 +23,42 @@ def pairs(df, *cols):
     return {tuple(r[c] for c in cols) for r in df.collect()}
 
 
+def plain_ranks(links, nodes, iterations=10):
+    """Ranks by the formula: 0.15 / n plus 0.85 of the neighbours' shares, all at once."""
+    rank = {x: 1 / len(nodes) for x in nodes}
+    for _ in range(iterations):
+        new = {x: 0.15 / len(nodes) for x in nodes}
+        for a, b in links:
+            new[b] += 0.85 * rank[a] / sum(x == a for x, _ in links)
+        rank = new
+    return rank
+
+
 def test_sample(spark):
-    g = made(spark, {p: t for p, t in MINI_NOTES.items() if p.startswith("kb/")})
-    assert {r["path"]: round(r["rank"], 6) for r in g.pagerank().collect()} == {
-        "kb/third.md": 0.105493, "kb/meta_test.md": 0.087584, "kb/first.md": 0.074834, "kb/second.md": 0.04275, "kb/typed_test.md": 0.03,
-    }
-    assert pairs(g.components, "component") == {("kb/first.md",)}
-    assert pairs(g.communities, "community") == {(0,)}
-    steps = g.shortest_path("typed_test", "first").orderBy("step").collect()
-    assert [r["title"] for r in steps] == ["typed_test.md", "meta_test.md", "third.md", "first.md"]
-    assert g.shortest_path("first", "third").count() == 0
-    assert [(r["title"], round(r["score"], 4)) for r in g.similar("first").collect()] == [("second.md", 0.3636), ("third.md", 0.1667)]
-    assert [(r["source"], r["target"], round(r["score"], 4)) for r in g.suggest(0.1).collect()] == [
-        ("kb/first.md", "kb/second.md", 0.3636), ("kb/third.md", "kb/typed_test.md", 0.1538),
-    ]
-    assert pairs(resolve.backlinks(g.edges).where("path = 'kb/meta_test.md'"), "src") == {("kb/third.md",), ("kb/typed_test.md",)}
+    g = made(spark, {p: t for p, t in MINI_NOTES.items() if p.startswith("garden/")})
+    links = [("thyme", "basil"), ("thyme", "beds"), ("beds", "thyme"), ("pruning", "beds"), ("pruning", "compost")]
+    want = plain_ranks(links, ["basil", "beds", "compost", "pruning", "thyme"])
+    assert {r["path"]: r["rank"] for r in g.pagerank().collect()} == pytest.approx({f"garden/{x}.md": v for x, v in want.items()})
+    assert pairs(g.components, "component") == {("garden/basil.md",)}
+    steps = g.shortest_path("pruning", "basil").orderBy("step").collect()
+    assert [r["title"] for r in steps] == ["pruning.md", "beds.md", "thyme.md", "basil.md"]
+    assert g.shortest_path("basil", "thyme").count() == 0
+    words = {p: {w for w in re.findall(r"[a-z0-9]+", t.lower()) if len(w) > 3} for p, t in MINI_NOTES.items()}
+    score = len(words["garden/basil.md"] & words["garden/compost.md"]) / len(words["garden/basil.md"] | words["garden/compost.md"])
+    best = g.similar("basil").head()
+    assert best["title"] == "compost.md" and best["score"] == pytest.approx(score, abs=1e-6)
+    first = g.suggest(0.1).head()
+    assert (first["source"], first["target"]) == ("garden/basil.md", "garden/compost.md")
+    assert pairs(resolve.backlinks(g.edges).where("path = 'garden/beds.md'"), "src") == {("garden/pruning.md",), ("garden/thyme.md",)}
 
 
 def test_cycle_and_islands(spark):
-    g = made(spark, {p: t for p, t in MINI_NOTES.items() if p.startswith(("cycle/", "gc/"))})
-    assert pairs(g.components, "component") == {("cycle/File1.md",), ("gc/island1.md",), ("gc/node1.md",), ("gc/orphan1.md",)}
-    assert pairs(g.orphans(), "path") == {("gc/orphan1.md",)}
-    assert pairs(g.islands(2), "component") == {("gc/island1.md",), ("gc/node1.md",)}
+    g = made(spark, {p: t for p, t in MINI_NOTES.items() if p.startswith(("ring/", "lone/"))})
+    assert pairs(g.components, "component") == {("ring/Ash.md",), ("lone/left.md",), ("lone/pepper.md",), ("lone/hermit.md",)}
+    assert pairs(g.orphans(), "path") == {("lone/hermit.md",)}
+    assert pairs(g.islands(2), "component") == {("lone/left.md",), ("lone/pepper.md",)}
     assert g.islands(1).count() == 0
-    assert [r["title"] for r in g.shortest_path("File1", "File3").orderBy("step").collect()] == ["File1.md", "File2.md", "File3.md"]
+    assert [r["title"] for r in g.shortest_path("Oak", "Ash").orderBy("step").collect()] == ["Oak.md", "Elm.md", "Ash.md"]
 
 
 def test_star_rank_single_and_empty(spark):
