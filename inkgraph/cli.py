@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkgraph.graph import KnowledgeGraph
 from inkgraph.operators import render
 from inkgraph.session import session
-from inkgraph.sources.notes import init_workspace, workspace_root
+from inkgraph.sources.notes import CACHE, MARKER, init_workspace, workspace_root
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -54,9 +54,16 @@ def main(argv: list[str] | None = None) -> int:
         lines = event_lines(watch(spark, str(Path(o.args[0]).resolve() if o.args else root)))
         lines.writeStream.format("console").option("truncate", "false").trigger(processingTime="1 second").start().awaitTermination()
         return 0
-    g = KnowledgeGraph.read(spark, str(root))
+    if len(o.args) < {"path": 2, "similar": 1}.get(o.command, 0):
+        print("path needs two titles, similar one", file=sys.stderr)
+        return 2
+    g = KnowledgeGraph.rescanned(spark, str(root), str(root / MARKER / CACHE))
     if o.command == "scan":
-        print(f"{render.filtered(g.notes, o.tag, o.status).count()} notes")
+        found = render.filtered(g.nodes, o.tag, o.status)
+        if o.tag is not None or o.status is not None:
+            for r in render.contexts(found, g.edges).orderBy("path").toLocalIterator():
+                print(r["context"])
+        print(f"{found.count()} notes")
     elif o.command == "export":
         _write(out / "llm_knowledge.md", render.bundle_header(o.date, o.tag, o.status), g.bundle(o.tag, o.status).orderBy("path"), "section")
     elif o.command == "path":

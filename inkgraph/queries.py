@@ -107,10 +107,10 @@ _simple("resolve_links", lambda g: g.edges.select("src", "pos", "target", "natur
 _simple("unresolved_links", lambda g: resolve.unresolved(g.edges), "SELECT target, count(*) AS n FROM edge WHERE dst IS NULL GROUP BY target")
 _simple("backlinks", lambda g: resolve.backlinks(g.edges), "SELECT dst AS path, src, src_title, pos FROM edge WHERE dst IS NOT NULL")
 _simple("backlink_counts", lambda g: resolve.backlinks(g.edges).groupBy("path").agg(F.count("*").alias("n")), "SELECT dst AS path, count(*) AS n FROM edge WHERE dst IS NOT NULL GROUP BY dst")
-_simple("degrees", lambda g: graph.degrees(g.notes, g.edges), "SELECT path, out_degree, in_degree, out_degree + in_degree AS degree FROM deg")
+_simple("degrees", lambda g: graph.degrees(g.nodes, g.edges), "SELECT path, out_degree, in_degree, out_degree + in_degree AS degree FROM deg")
 _simple(
     "graph_stats",
-    lambda g: graph.graph_stats(g.notes, g.edges),
+    lambda g: graph.graph_stats(g.nodes, g.edges),
     "SELECT (SELECT count(*) FROM n) AS n_notes, count(*) AS n_links, count(dst) AS n_resolved, count(DISTINCT CASE WHEN dst IS NULL THEN target END) AS n_unresolved_targets FROM edge",
 )
 _simple(
@@ -135,7 +135,7 @@ _simple("gc_summary", lambda g: graph.gc_summary(g.components, 3), "SELECT count
 
 
 def _bfs(g: KnowledgeGraph, suffix: str) -> DataFrame:
-    return graph.bfs(g.edges, resolve.find_by_title(g.notes, START[suffix]).select("path"))
+    return graph.bfs(g.edges, resolve.find_by_title(g.nodes, START[suffix]).select("path"))
 
 
 _both(_bfs, "bfs_distances", lambda c, s: O.chain(c, f"SELECT '{START[s]}' AS target") + O.bfs(START[s]) + "SELECT path, distance, parent FROM dist")
@@ -237,7 +237,7 @@ ctx AS (SELECT n.path, '### Node: ' || title || chr(10) || '**Path:** ' || n.pat
 """
 _simple("node_contexts", lambda g: g.contexts(), "SELECT path, context FROM ctx", _CONTEXT)
 _both(
-    lambda g, s: render.contexts(g.notes.where(F.col("path") == NOTE[s]), g.edges),
+    lambda g, s: render.contexts(g.nodes.where(F.col("path") == NOTE[s]), g.edges),
     "node_context",
     lambda c, s: O.chain(c) + _CONTEXT + f"SELECT path, context FROM ctx WHERE path = '{NOTE[s]}'",
 )
@@ -362,4 +362,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty notes of highest rank, with their degrees."""
     g = KnowledgeGraph(corpus(spark, sf_dir, KB))
     top = g.pagerank().select("path", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "path").limit(20)
-    return top.join(graph.degrees(g.notes, g.edges), "path").join(g.notes.select("path", "title"), "path").select("title", "rank", "in_degree", "out_degree").orderBy(F.desc("rank"), "title")
+    return top.join(graph.degrees(g.nodes, g.edges), "path").join(g.nodes.select("path", "title"), "path").select("title", "rank", "in_degree", "out_degree").orderBy(F.desc("rank"), "title")

@@ -1,6 +1,7 @@
 """Files, manifests, the JSON cache, the change feed, the command line."""
 
 import json
+import os
 import time
 
 import pytest
@@ -26,6 +27,43 @@ def test_scan(spark, tmp_path):
     assert [r["path"] for r in rejected.collect()] == ["big.md"]
 
 
+def test_names_that_file_sources_hide(spark, tmp_path):
+    """Only dot names at the top are no notes; a folder's name may repeat below it."""
+    root = tmp_path / "kb"
+    write(root, {"_u.md": "under", "_d/x.md": "in", "d/.h/y.md": "dot below", ".top.md": "no", ".t/z.md": "no", f"old{root}/x.md": "twice", "x.md": "one", "_e.md": "", "a[1]{b}*.md": "odd"})
+    want = {"_u.md": "under", "_d/x.md": "in", "d/.h/y.md": "dot below", f"old{root}/x.md": "twice", "x.md": "one", "_e.md": "", "a[1]{b}*.md": "odd"}
+    got = source.read_files(spark, str(root))
+    assert {r["path"]: r["content"] for r in got.collect()} == want and got.count() == len(want)
+    assert {r["path"]: r["length"] for r in source.list_files(spark, f"file://{root}").collect()} == {p: len(t) for p, t in want.items()}
+    assert set(snapshot(str(root))) == set(want)
+    assert {r["path"]: r["content"] for r in source._files(spark, str(root), ["_u.md", "a[1]{b}*.md", "_e.md"]).collect()} == {p: want[p] for p in ("_u.md", "a[1]{b}*.md", "_e.md")}
+
+
+def test_unchanged_files_are_not_opened(spark, tmp_path):
+    """A file whose time is as before isn't read: another content under the old time goes unseen."""
+    root, cache = tmp_path / "ws", f"file://{tmp_path}/cache.json"
+    write(root, {"a.md": "#a", "b.md": "#b", "_c.md": "#c"})
+    tags = lambda: {r["path"]: tuple(r["tags"]) for r in source.refreshed(spark, str(root), cache, parse.notes).collect()}
+    assert tags() == {"a.md": ("a",), "b.md": ("b",), "_c.md": ("c",)}
+    written = (tmp_path / "cache.json").stat().st_mtime_ns
+    times = {n: (root / n).stat() for n in ("a.md", "_c.md")}
+    write(root, {"a.md": "#z", "_c.md": "#z"})
+    for n, t in times.items():
+        os.utime(root / n, ns=(t.st_atime_ns, t.st_mtime_ns))
+    opened = []
+    real = source._files
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(source, "_files", lambda spark, root, only=None: opened.append(only) or real(spark, root, only))
+        assert tags() == {"a.md": ("a",), "b.md": ("b",), "_c.md": ("c",)}
+        assert [x for x in opened if x is not None] == [] and (tmp_path / "cache.json").stat().st_mtime_ns == written
+        os.utime(root / "a.md")  # another time: read, and parsed as the hash differs
+        os.utime(root / "b.md")  # touched only
+        assert tags() == {"a.md": ("z",), "b.md": ("b",), "_c.md": ("c",)} and sorted(opened[-1]) == ["a.md", "b.md"]
+        (root / "b.md").unlink()
+        assert set(tags()) == {"a.md", "_c.md"}
+        assert source.load_cache(spark, cache).count() == 2
+
+
 def test_rescan_reuses(spark, tmp_path):
     write(tmp_path, {"a.md": "#a", "b.md": "#b", "c.md": "#c"})
     none = source.manifest(spark.createDataFrame([], "path string, mtime timestamp"), parse.notes(spark.createDataFrame([], "path string, content string")))
@@ -103,8 +141,9 @@ def test_workspace_and_commands(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.chdir(ws)
     for command in (["scan"], ["scan", "--tag", "t"], ["export", "--status", "on"], ["path", "a", "b"], ["clusters"], ["gc"], ["similar", "a"], ["suggest"], ["visualize"]):
         assert cli.main(command) == 0
+    assert cli.main(["path", "a"]) == cli.main(["similar"]) == 2
     out = capsys.readouterr().out
-    assert "3 notes" in out and "1 notes" in out and "a.md -> b.md" in out and "orphan c.md" in out
+    assert "3 notes" in out and "1 notes" in out and "### Node: a.md" in out and json.loads((ws / ".li/cache.json").read_text())["version"] == 1 and "a.md -> b.md" in out and "orphan c.md" in out
     assert (tmp_path / "llm_knowledge.md").read_text().startswith("# LLM Knowledge Bundle\n") and "**PageRank:** 0.0500" in (tmp_path / "llm_knowledge.md").read_text()
     assert (tmp_path / "map.csv").read_text().startswith("id,path,tags,") and len((tmp_path / "map.csv").read_text().splitlines()) == 4
     graph = json.loads((tmp_path / "graph.json").read_text())
