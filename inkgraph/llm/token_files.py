@@ -38,7 +38,7 @@ from inkgraph.llm.worker import kept, let_go
 from inkgraph.plans.tables import Scratch
 
 END = 1
-#: Twice the distinct words a worker keeps; when they are full it starts afresh.
+#: Twice the distinct words a worker keeps; when they are full, those not met again are dropped.
 SLOTS = 1 << 21
 WORDS_AT_ONCE = 1 << 18
 SLICE_BYTES = 4 << 20
@@ -98,6 +98,35 @@ class WordEncoder:
         # The bytes of the words, one after the other, and where each begins.
         self.bytes, self.begin = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int64)
         self.apart: dict[bytes, int] = {}
+        self.met = np.zeros(1 << 14, bool)  # words found again since they were learned or kept
+
+    def _shrink(self) -> None:
+        """Keep the words that were met again, unless they fill half of what is kept."""
+        slot = np.flatnonzero(self.value >= 0)
+        slot = slot[self.met[self.value[slot]]]
+        if len(slot) > SLOTS // 4:
+            self._forget()
+            return
+        old, h, check = self.value[slot], self.keys[slot], self.checks[slot]
+        flat, first, text, begin = self.flat, self.first, self.bytes, self.begin
+        self._forget()
+        sizes = {"flat": first[old + 1] - first[old], "bytes": begin[old + 1] - begin[old]}
+        self._extend("flat", "first", flat[_ranges(first[old], sizes["flat"])], sizes["flat"])
+        self._extend("bytes", "begin", text[_ranges(begin[old], sizes["bytes"])], sizes["bytes"])
+        self._put(h, check, np.arange(len(old), dtype=np.int32))
+        self.n = len(old)
+
+    def _extend(self, values: str, first: str, new: np.ndarray, sizes: np.ndarray) -> None:
+        """Values of words that follow the last one."""
+        at = getattr(self, first)
+        if self.n + len(sizes) + 1 > len(at):
+            at = np.resize(at, max(self.n + len(sizes) + 1, 2 * len(at)))
+            setattr(self, first, at)
+        at[self.n + 1 : self.n + 1 + len(sizes)] = at[self.n] + np.cumsum(sizes)
+        used, need = int(at[self.n]), int(at[self.n + len(sizes)])
+        if need + 8 > len(getattr(self, values)):  # the last lane is read whole
+            setattr(self, values, np.resize(getattr(self, values), max(need + 8, 2 * len(getattr(self, values)))))
+        getattr(self, values)[used:need] = new
 
     def _code(self, words: list[str]) -> list[list[int]]:
         """The ids of words. Words of Latin letters, but for points and commas after them, go
@@ -151,17 +180,11 @@ class WordEncoder:
         raw = [part[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         coded = self._code([w.decode() for w in raw])
         number = np.arange(self.n, self.n + len(raw), dtype=np.int32)
-        for values, first, sizes, kind in (("flat", "first", [len(c) for c in coded], np.int32), ("bytes", "begin", [len(w) for w in raw], np.uint8)):
-            at = getattr(self, first)
-            if self.n + len(raw) + 1 > len(at):
-                at = np.resize(at, max(self.n + len(raw) + 1, 2 * len(at)))
-                setattr(self, first, at)
-            at[self.n + 1 : self.n + 1 + len(raw)] = at[self.n] + np.cumsum(np.array(sizes, np.int64))
-            used, need = int(at[self.n]), int(at[self.n + len(raw)])
-            if need + 8 > len(getattr(self, values)):  # the last lane is read whole
-                setattr(self, values, np.resize(getattr(self, values), max(need + 8, 2 * len(getattr(self, values)))))
-            new = np.frombuffer(b"".join(raw), np.uint8) if kind is np.uint8 else np.fromiter((i for c in coded for i in c), np.int32, need - used)
-            getattr(self, values)[used:need] = new
+        sizes = np.array([len(c) for c in coded], np.int64)
+        self._extend("flat", "first", np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum())), sizes)
+        self._extend("bytes", "begin", np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw], np.int64))
+        if self.n + len(raw) > len(self.met):
+            self.met = np.concatenate([self.met, np.zeros(max(self.n + len(raw) - len(self.met), len(self.met)), bool)])
         if keys:
             self._put(*keys, number)
         self.n += len(raw)
@@ -225,11 +248,13 @@ class WordEncoder:
             long = np.flatnonzero(e - s > 8)
             check[long] = run_hashes(part, s[long], e[long], other=True)
             n = self._find(h, check)
+            self.met[n[n >= 0]] = True
             new = np.flatnonzero(n < 0)
+            if self.n + len(new) > SLOTS // 2:
+                self._shrink()
+                n = self._find(h, check)
+                new = np.flatnonzero(n < 0)
             if len(new):
-                if self.n + len(new) > SLOTS // 2:
-                    self._forget()
-                    new = np.arange(len(s))
                 _, one = np.unique(h[new] ^ (check[new] * U(0x9E3779B97F4A7C15)), return_index=True)
                 w = new[one]
                 self._learn(part, s[w], e[w], (h[w], check[w]))

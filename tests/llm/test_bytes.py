@@ -85,9 +85,13 @@ def test_word_table_starts_afresh(monkeypatch):
     monkeypatch.setattr(token_files, "SLOTS", 64)
     monkeypatch.setattr(token_files, "WORDS_AT_ONCE", 20)
     lib, enc = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), WordEncoder(vocabulary("word_bpe_49k.json"))
+    r = random.Random(2)
     texts = [" ".join(f"w{i % 97}x" for i in range(a, a + 300)) for a in (0, 50)]
-    ids, off = enc.encode(Texts(pa.array(texts)), 0, 2)
-    assert [ids[off[i] : off[i + 1] - 1].tolist() for i in range(2)] == [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    texts += [" ".join(r.choice(["the", "cat", "sat", "on", "mats,", f"once{r.randrange(10**6)}"]) for _ in range(400)) for _ in range(3)]
+    for _ in range(2):
+        ids, off = enc.encode(Texts(pa.array(texts)), 0, 5)
+        assert [ids[off[i] : off[i + 1] - 1].tolist() for i in range(5)] == [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    assert enc.n <= 64
 
 
 def test_shingles():
