@@ -7,15 +7,20 @@ The statistics are frozen after training, so the cost of a byte depends on four
 trees are compiled into tables; the code length of a text is a sum of table entries, and the
 language with the shortest code is predicted. ``score`` is its share of the posterior 2^-bits.
 
-Symbols: ASCII letters count in lower case; the 63 most frequent bytes of the training rows are
-symbols of their own, all others are one symbol followed by a plain choice among them.
+Symbols: ASCII letters count in lower case; the 63 most frequent bytes of the training rows of a group
+of languages are symbols of their own, all others are one symbol followed by a plain choice among them.
 
 Training takes about ``per_language`` labelled rows of each language, by a hash of doc_id (a
-documented bound; every row is scored, by its whole text), of the ``max_languages`` most frequent.
+documented bound; every row is scored, by its whole text). All languages are learned: those of a script
+(told by the bytes that begin its letters) share a symbol table, in groups of at most ``GROUP``, so the
+tables sent to the workers at once are bounded. Each group is a pass over the documents, which carry
+their shortest code so far; the four languages of the test tables are one group.
 
 Defined cases: a text that is null, empty or without letters is ``und`` with score 0; so is every
-text when nothing was learned; rows with a null doc_id are not held out and not learned from;
-equal code lengths go to the first language by code point; other columns are ignored.
+text when nothing was learned; rows with a null doc_id are not held out and not learned from; repeated
+rows repeat their result and count again in training; texts of any length are scored whole, half a
+million bytes at a time; equal code lengths go to the first language by code point; an empty table
+gives an empty result; other columns are ignored, or kept by ``identified``.
 """
 
 from __future__ import annotations
@@ -29,15 +34,19 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkgraph.llm.textbuf import Texts
 from inkgraph.llm.worker import kept
-from inkgraph.plans.tables import free_name
+from inkgraph.plans.tables import Scratch
 
 ORDER = 3
 SYMBOLS = 64
 PER_LANGUAGE = 5_000
-MAX_LANGUAGES = 64
+#: Languages of one set of tables, about 3.5 MB each.
+GROUP = 64
+#: Share of bytes that are not ASCII from which on a language's script is told by them.
+OTHER_SCRIPT = 0.3
 UND = "und"
 #: Bits a byte above which a text is in none of the languages; prose takes two to four.
 MOST_BITS = 6.5
@@ -155,12 +164,24 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
-    """A model of the rows (doc_id, text, lang) with both known, sampled to the documented bound."""
+def _script(by_byte: np.ndarray) -> int:
+    """A number for the script of a language: 0 for the Latin one, else its commonest leading byte but for
+    the last bits, in which the leading bytes of one script differ."""
+    lead = by_byte.copy()
+    lead[:0xC2] = 0
+    if by_byte[128:].sum() <= OTHER_SCRIPT * by_byte.sum():
+        return 0
+    top = int(lead.argmax())
+    return top >> 1 if top < 0xE0 else top >> 3
+
+
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[Model]:
+    """Models of the rows (doc_id, text, lang) with both known, sampled to the documented bound: one for
+    each group of languages, none if there is nothing to learn."""
     rows = labelled.where("lang is not null and doc_id is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
-        return fit([], *(np.zeros(0, np.int64) for _ in range(3)))
+        return []
     shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
     part = (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) / 1_000_000) < shares[F.col("lang")]
     symbol = np.arange(256, dtype=np.uint8)[_FOLD]
@@ -177,12 +198,25 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counted = rows.where(part).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    languages = sorted(r["lang"] for r in sizes)
-    named = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
-    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select(named.cast("int").alias("k"), "gram", "n").toArrow()
+    scratch = Scratch(labelled.sparkSession, "language")
+    counted, at = scratch.keep_at(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     # A language none of whose sampled rows has a text was not learned.
-    learned, number = np.unique(rows["k"].to_numpy(), return_inverse=True)
-    return fit([languages[i] for i in learned], number, rows["gram"].to_numpy(), rows["n"].to_numpy())
+    histogram = counted.groupBy("lang", F.col("gram").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect()
+    by_byte: dict[str, np.ndarray] = {}
+    for r in histogram:
+        by_byte.setdefault(r["lang"], np.zeros(256))[r["byte"]] += r["n"]
+    scripts: dict[int, list[str]] = {}
+    for lang in sorted(by_byte):
+        scripts.setdefault(_script(by_byte[lang]), []).append(lang)
+    models = []
+    for _, names in sorted(scripts.items()):
+        for k in range(0, len(names), GROUP):
+            languages = names[k : k + GROUP]
+            named = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
+            got = counted.where(F.col("lang").isin(languages)).select(named.cast("int").alias("k"), "gram", "n").toArrow()
+            models.append(fit(languages, got["k"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy()))
+    scratch.drop(at)
+    return models
 
 
 def _grams(texts: Texts, symbol: np.ndarray, off: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -200,57 +234,68 @@ def _grams(texts: Texts, symbol: np.ndarray, off: np.ndarray, a: int, b: int) ->
     return gram
 
 
-def predictions(docs: DataFrame, model: Model) -> DataFrame:
+def _shortest(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """``docs`` plus _lang, _least (bits of its shortest code) and _total (the sum of 2^(least - bits) over all
+    languages). The text is a column, then left out, or that of a column ``_row``, which is kept."""
+    out = docs.withColumns({"_lang": F.lit(None).cast("string"), "_least": F.lit(float("inf")), "_total": F.lit(0.0)})
+    scratch = Scratch(docs.sparkSession, "language")
+    for k, model in enumerate(models):
+        columns = [c for c in out.columns if c != "text" or k < len(models) - 1]
+        shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+        def score(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, name: str = name, columns: list[str] = columns) -> Iterator[pa.RecordBatch]:
+            frozen = kept(name, lambda: shared.value)
+            names = np.array(frozen.languages, object)
+            for batch in batches:
+                texts = Texts(batch.column("text") if "text" in batch.schema.names else batch.column("_row").field("text"))
+                lang = np.array(batch.column("_lang").to_pylist(), object)
+                least, total = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("_least", "_total"))
+                for lo, hi in texts.slices():
+                    bits = frozen.code_lengths(texts, lo, hi)
+                    best = bits.argmin(1)
+                    own, before = bits[np.arange(hi - lo), best], least[lo:hi]
+                    first = [b is None or o < e or (o == e and x < b) for b, o, e, x in zip(lang[lo:hi], own, before, names[best], strict=True)]
+                    now = np.minimum(own, before)
+                    lang[lo:hi] = np.where(first, names[best], lang[lo:hi])
+                    total[lo:hi] = total[lo:hi] * np.exp2(np.maximum(now - before, -1000.0)) + np.exp2(np.maximum(now[:, None] - bits, -1000.0)).sum(1)
+                    least[lo:hi] = now
+                rest = [batch.column(c) for c in columns[:-3]]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(lang.tolist(), pa.string()), pa.array(least), pa.array(total)], names=columns)
+
+        out = out.mapInArrow(score, T.StructType([out.schema[c] for c in columns]))
+        if k < len(models) - 1:
+            out = scratch.keep(out, "scored")
+    return out.drop("text")
+
+
+def predictions(docs: DataFrame, models: list[Model]) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte for every row of ``docs`` (doc_id, text)."""
-    shared: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    name = uuid.uuid4().hex
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = kept(name, lambda: shared.value)
-        for batch in batches:
-            texts, n = Texts(batch.column(1)), batch.num_rows
-            letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            lang, score, rate = np.full(n, UND, object), np.zeros(n), np.zeros(n)
-            for lo, hi in texts.slices() if frozen.languages else ():
-                bits = frozen.code_lengths(texts, lo, hi)
-                best = bits.argmin(1)
-                least = bits[np.arange(hi - lo), best]
-                share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(1)
-                ok = letters[lo:hi]
-                lang[lo:hi] = np.where(ok, np.array(frozen.languages, object)[best], UND)
-                score[lo:hi] = np.where(ok, share, 0.0)
-                rate[lo:hi] = least / np.maximum(1, np.diff(texts.off[lo : hi + 1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
-
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), "text", has_letter.alias("ok")).mapInArrow(predict, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    size = F.greatest(F.lit(1), F.coalesce(F.octet_length("text"), F.lit(0))).alias("_size")
+    got = _shortest(docs.select(F.col("doc_id").cast("long"), "text", letters, size), models)
+    told = F.col("_letters") & F.col("_lang").isNotNull()
+    return got.select(
+        "doc_id",
+        F.when(told, F.col("_lang")).otherwise(F.lit(UND)).alias("lang_pred"),
+        F.when(told, 1 / F.col("_total")).otherwise(F.lit(0.0)).alias("score"),
+        F.when(F.col("_lang").isNotNull(), F.col("_least") / F.col("_size")).otherwise(F.lit(0.0)).alias("bits_per_byte"),
+    )
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Predictions for all of ``docs``, learned from the rows whose remainder is not 1."""
-    model = train(docs.select("doc_id", "text", "lang").where(remainder() != 1), per_language)
+    models = train(docs.select("doc_id", "text", "lang").where(remainder() != 1), per_language)
     held = F.coalesce(remainder() == 1, F.lit(False)).alias("held_out")
-    return predictions(docs, model).select("doc_id", held, "lang_pred", "score", "bits_per_byte")
+    return predictions(docs, models).select("doc_id", held, "lang_pred", "score", "bits_per_byte")
 
 
-def identified(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> DataFrame:
+def identified(docs: DataFrame, models: list[Model], most_bits: float = MOST_BITS) -> DataFrame:
     """The rows of ``docs``, all columns, whose language can be told.
 
     Rejected are texts that are null or without letters, and texts that even the best language
-    needs more than ``most_bits`` bits a byte for (encoded data, scripts never seen). Rows are
-    filtered where they are scored, so nothing is joined back.
+    needs more than ``most_bits`` bits a byte for (encoded data, scripts never seen).
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    letters = free_name(docs, "_ok")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = kept(name, lambda: shared.value)
-        for batch in batches:
-            texts = Texts(batch.column("text"))
-            ok = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in texts.slices() if frozen.languages else ():
-                least = frozen.code_lengths(texts, lo, hi).min(1)
-                ok[lo:hi] &= least <= most_bits * np.diff(texts.off[lo : hi + 1])
-            yield batch.drop_columns([letters]).filter(pa.array(ok & bool(frozen.languages)))
-
-    return docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(keep, docs.schema)
+    # The row rides along whole, so that no name of its columns can clash.
+    rows = docs.where(F.col("text").rlike(r"\p{L}")).select(F.struct("*").alias("_row"))
+    got = _shortest(rows, models).where("_lang is not null")
+    return got.where(F.col("_least") <= most_bits * F.octet_length("_row.text")).select("_row.*")

@@ -514,7 +514,7 @@ def brute_bits(counts, symbol, text):
 def test_code_lengths_by_hand(spark):
     train = {"aa": ["abab abba baab", "abc"], "bb": ["xyzzy xyx yxz", "zéro"]}
     rows = [(i, t, lang, "s", 0) for lang, ts in train.items() for i, t in enumerate(ts)]
-    model = language.train(docs(spark, rows))
+    [model] = language.train(docs(spark, rows))
     counts = {}
     for lang, ts in train.items():
         counts[lang] = [{} for _ in range(4)]
@@ -533,7 +533,7 @@ def test_code_lengths_by_hand(spark):
 
 
 def test_language_over_chunks(spark, monkeypatch):
-    model = language.train(docs(spark, [(1, "the cat and the hat", "en", "a", 0), (2, "der hund und die katze", "de", "a", 0)]))
+    [model] = language.train(docs(spark, [(1, "the cat and the hat", "en", "a", 0), (2, "der hund und die katze", "de", "a", 0)]))
     texts = Texts(pa.array(["the " * 50, "", "hund " * 30, "x"]))
     whole = model.code_lengths(texts, 0, 4)
     monkeypatch.setattr(language, "CHUNK", 7)
@@ -554,11 +554,35 @@ def test_language_odd_rows(spark):
     none = language.identify(docs(spark).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {g["lang_pred"] for g in none} == {"und"}
     assert language.identify(docs(spark, [])).count() == 0
-    model = language.train(docs(spark).select("doc_id", "text", "lang"))
-    kept = language.identified(clashing(docs(spark)), model)
+    models = language.train(docs(spark).select("doc_id", "text", "lang"))
+    kept = language.identified(clashing(docs(spark)), models)
     assert kept.columns == clashing(docs(spark)).columns and {2, 3, 4, 8}.isdisjoint({g["doc_id"] for g in kept.collect()})
 
 
+def test_many_languages_and_scripts(spark, monkeypatch):
+    """All languages are learned, also beyond one group of tables, and in scripts other than Latin."""
+    r = random.Random(3)
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "hindi": "अआइईउऊऋएऐओऔकखगघचछजझटठडढणतथदधन"}
+    rows, names = [], []
+    for script, own in letters.items():
+        for k in range(20):
+            words = ["".join(r.choice(own) for _ in range(r.randint(3, 8))) for _ in range(30)]
+            names.append(f"{script}{k:02d}")
+            rows += [(len(rows) + j, " ".join(r.choice(words) for _ in range(40)), names[-1], "s", 0) for j in range(12)]
+    df = docs(spark, rows)
+    one = language.train(df)
+    assert sorted(x for m in one for x in m.languages) == sorted(names) and len(one) == 4
+    plain = {g["doc_id"]: g for g in language.predictions(df, one).collect()}
+    monkeypatch.setattr(language, "GROUP", 7)
+    many = language.train(df)
+    assert len(many) == 12 and all(len(m.languages) <= 7 for m in many)
+    got = {g["doc_id"]: g for g in language.predictions(df, many).collect()}
+    for answers in (plain, got):
+        assert sum(answers[i]["lang_pred"] == lang for i, _, lang, _, _ in rows) >= 0.99 * len(rows)
+        assert all(0 < g["score"] <= 1 for g in answers.values())
+    assert language.identified(df, many).count() == len(rows)
+
+
 # Token files and counts.
 
 
