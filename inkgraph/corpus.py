@@ -32,6 +32,7 @@ MINI_NOTES = {
     "lone/pepper.md": "never without [[salt]]",
     "lone/hermit.md": "nobody comes here",
     "_aside/hush.md": "kept out of sight #hidden [[hermit]]",
+    "_aside/_still.md": "quieter yet",
     "edge/alpha.md": "---\nstatus: draft\nsummary: First, of \"two\"\nnextPartOf: beta.md\nproblem: none\n---\n[[beta]] [[beta]] [[alpha]] [[missing one]] #x #y",
     "edge/beta.md": "---\npreviousPartOf: alpha.md, gamma , nowhere\nurl: https://example.com\nurl: last: wins\n---\n[[rel::alpha.md]] [[eta.m]] [[]] ##tag #a#b #t[[q]] text.",
     "edge/gamma, comma.md": "Path with a comma [[supports::beta]] #solo [[a::b::c]] [[::Oak]]",

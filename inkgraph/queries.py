@@ -324,15 +324,15 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add(
     "snapshot_diff",
-    """WITH o AS (SELECT user_id AS path, max(ts) AS mtime FROM events WHERE ts <= (SELECT to_timestamp(avg(epoch(ts)))::TIMESTAMP FROM events) GROUP BY user_id), c AS (SELECT user_id AS path, max(ts) AS mtime FROM events GROUP BY user_id)
+    """WITH o AS (SELECT user_id AS path, max(ts) AS mtime FROM events WHERE event_id <= (SELECT avg(event_id) FROM events) GROUP BY user_id), c AS (SELECT user_id AS path, max(ts) AS mtime FROM events GROUP BY user_id)
 SELECT event, path::VARCHAR AS path FROM (SELECT path, CASE WHEN c.mtime IS NULL THEN 'deleted' WHEN o.mtime IS NULL THEN 'created' WHEN c.mtime > o.mtime THEN 'updated' END AS event FROM o FULL JOIN c USING (path)) WHERE event IS NOT NULL""",
 )
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' last events half-way through and at the end, as two listings of files."""
+    """Users' last events half-way through the feed and at its end, as two listings of files."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    half = ev.agg(F.timestamp_seconds(F.avg(F.unix_micros("ts") / 1e6)).alias("half"))
+    half = ev.agg(F.avg("event_id").alias("half"))
     last = lambda rows: rows.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.max("ts").alias("mtime"))
-    return source.snapshot_diff(last(ev.join(F.broadcast(half), F.col("ts") <= F.col("half")).drop("half")), last(ev))
+    return source.snapshot_diff(last(ev.join(F.broadcast(half), F.col("event_id") <= F.col("half")).drop("half")), last(ev))
 
 
 @_add(
