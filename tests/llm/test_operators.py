@@ -153,7 +153,7 @@ def test_chat(spark, seed):
             rows.append((c, r.choice([t, t, None if t == 3 else t]), "system" if t == 0 and r.random() < 0.5 else r.choice(["user", "assistant", "assistant", None, "odd\nrole&"]), r.choice(said), "x"))
     rows += rows[:3]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, win string")
-    windows = chat.chat_windows(df, 60, 20)
+    windows = chat.chat_windows(df, 100)
     got = {g["conv_id"]: g for g in chat.read_back(windows).collect()}
     import hashlib
 
@@ -167,16 +167,33 @@ def test_chat(spark, seed):
         assert got[c]["n_turns"] == len(turns) and got[c]["loss_chars"] == len(loss)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in turns).encode()).hexdigest()
         assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-    for w in windows.collect():
+    plain = {}
+    for w in sorted(windows.collect(), key=lambda w: (str(w["conv_id"]), w["win"])):
         parts = w["formatted"].split("<|im_end|>\n")[:-1]
         assert len(parts) == w["repeated"] + w["n_turns"] and all(p.startswith("<|im_start|>") and p.count("<|") == 1 for p in parts)
-        tokens = [len(WORD.findall(p.split("\n", 1)[1].replace("&lt;|", "<|").replace("&amp;", "&"))) + chat.OVERHEAD for p in parts[w["repeated"] :]]
-        assert sum(tokens[:-1]) < 60  # the last turn may reach over
-        own = sum(len(p) + len("<|im_end|>\n") for p in parts[: w["repeated"]])
-        assert all(s["begin"] >= own for s in w["loss"])
+        tokens = [len(WORD.findall(p.split("\n", 1)[1].replace("&lt;|", "<|").replace("&amp;", "&"))) + chat.OVERHEAD for p in parts]
+        assert sum(tokens) == w["tokens"] and (sum(tokens) <= 100 or w["n_turns"] == 1 and w["repeated"] <= 1)
+        start = sum(len(p) + len("<|im_end|>\n") for p in parts[: w["repeated"]])
+        assert all(s["begin"] >= start for s in w["loss"])
+        # What repeats is the end of what came before, after the system turn.
+        so_far = plain.setdefault(w["conv_id"], [])
+        again = parts[: w["repeated"]]
+        if again and so_far[0].startswith("<|im_start|>system\n") and again != so_far[len(so_far) - len(again) :]:
+            assert again[0] == so_far[0]
+            again = again[1:]
+        assert again == so_far[len(so_far) - len(again) :]
+        so_far += parts[w["repeated"] :]
+    assert any(w["repeated"] > 1 for w in windows.collect())
     assert chat.chat_windows(df.limit(0)).count() == 0
 
 
+def test_windows_on_the_tables(spark):
+    """With production parameters conversations of the test tables have several windows, within the budget."""
+    windows = chat.chat_windows(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).collect()
+    several = {w["conv_id"] for w in windows if w["repeated"]}
+    assert len(several) > 50 and all(w["tokens"] <= chat.BUDGET or w["n_turns"] == 1 for w in windows)
+
+
 # Near-duplicates.
 
 
