@@ -14,10 +14,13 @@ dropped and not tried again):
 The method adds, and never removes:
   url     a scheme and a host with an optional user, port and path
   iban    an account number of the ISO 13616 form after a cue, passing the mod-97 check
-  street  house number, one to four capitalised words, street word
+  street  house number and street: "12 Main Oak Street", "Lange Straße 12", "12 rue de la Paix",
+          "Calle de Alcalá, 12"
+  secret  what is assigned to a token, key or password, or follows "Bearer": at least 12 letters, digits
+          and signs, some of them digits and some letters
 
-Defined cases: null and empty texts have no spans; repeated rows repeat their result; other columns
-are ignored.
+Defined cases: null and empty texts have no spans; texts of any length are read whole; repeated rows
+repeat their result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("url", "iban", "street")
+ADDED = ("url", "iban", "street", "secret")
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +49,17 @@ _IBAN = re.compile(r"[\s:#.-]{0,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z
 _STREET = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?(?: [A-Z][\w'-]{1,30}){1,4} $")
 _CUES = ("IBAN", "Iban", "iban", "account", "Account", "Konto", "konto", "compte", "Compte", "cuenta", "Cuenta")
 _STREET_WORDS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive")
+# German streets end in these words, French and Spanish ones begin with these.
+_STREET_ENDS = ("straße", "strasse", "weg", "platz", "allee", "gasse", "Straße", "Weg", "Platz", "Allee", "Gasse")
+_HOUSE_AFTER = re.compile(r" [0-9]{1,4}(?: ?[a-z])?(?![0-9A-Za-z])")
+_WORDS_BEFORE = re.compile(r"(?<![\w-])[A-ZÄÖÜ](?:[\w.-]{0,30}|[\w.-]{0,30} )$")
+_RUE_WORDS = ("rue", "avenue", "boulevard", "chemin", "quai")
+_HOUSE_BEFORE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,4}(?: bis| ter)?,? $")
+_RUE_NAME = re.compile(r"(?: (?:de la|de|du|des|la|le|les|aux))?(?: (?:[ld]['’])?[A-ZÀ-Ý][\w'’-]{1,30}){1,4}")
+_CALLE_WORDS = ("Calle", "calle", "Avenida", "avenida", "Plaza", "Paseo")
+_CALLE_NAME = re.compile(r"(?: (?:de la|de los|de las|de|del|la|las|los|el))?(?: [A-ZÁÉÍÓÚÑ][\w'-]{1,30}){1,4},? (?:n[.º°] ?)?[0-9]{1,4}(?![0-9A-Za-z])")
+_SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "api key", "access_key", "private_key", "bearer")
+_SECRET_VALUE = re.compile(r"[\"']?(?:\s{0,4}(?:=>|:=|[:=])\s{0,4}| {1,4}(?<=earer )|(?<=EARER) )[\"']?([A-Za-z0-9_./+~=-]{12,512})")
 
 
 def luhn(digits: str) -> bool:
@@ -74,6 +88,15 @@ def _automaton():
         auto.add_word(w, ("cue", len(w)))
     for w in _STREET_WORDS:
         auto.add_word(" " + w, ("street", len(w)))
+    for w in _STREET_ENDS:
+        auto.add_word(w + " ", ("strasse", len(w) + 1))
+    for w in _RUE_WORDS:
+        auto.add_word(" " + w + " ", ("rue", len(w) + 1))
+    for w in _CALLE_WORDS:
+        auto.add_word(w + " ", ("calle", len(w) + 1))
+    for w in _SECRET_WORDS:
+        for form in (w, w.capitalize(), w.upper()):
+            auto.add_word(form, ("secret", len(form)))
     auto.make_automaton()
     return auto
 
@@ -81,7 +104,7 @@ def _automaton():
 def find_spans(text: str) -> list[Span]:
     """(kind, start, end) in code points, by kind as listed and then by start."""
     out: dict[str, list[Span]] = {k: [] for k in (*BASE, *ADDED)}
-    email_from = ip_from = card_from = phone_from = url_from = iban_from = street_from = 0
+    email_from = ip_from = card_from = phone_from = url_from = iban_from = street_from = secret_from = 0
     for last, (kind, size) in _automaton().iter(text):
         at = last - size + 1
         if kind == "digit":
@@ -132,7 +155,34 @@ def find_spans(text: str) -> list[Span]:
                         out["iban"].append(("iban", m.start(1), end))
                         iban_from = end
                         break
-        elif at >= street_from:
+        elif kind == "secret":
+            if at >= secret_from and (m := _SECRET_VALUE.match(text, last + 1)):
+                begin, end = m.span(1)
+                end = begin + len(m[1].rstrip(".,"))
+                value = text[begin:end]
+                if len(value) >= 12 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+                    out["secret"].append(("secret", begin, end))
+                    secret_from = end
+        elif at < street_from:
+            continue
+        elif kind == "strasse":
+            floor = max(street_from, at - 40)
+            if (m := _HOUSE_AFTER.match(text, last)) and (text[at].isupper() or _WORDS_BEFORE.search(text[floor:at])):
+                # A street word of its own may have a word before it, one within a word has the rest of it.
+                b = _WORDS_BEFORE.search(text[floor:at])
+                begin = floor + b.start() if b else at
+                street_from = m.end()
+                out["street"].append(("street", begin, street_from))
+        elif kind == "rue":
+            b = _HOUSE_BEFORE.search(text[max(street_from, at - 12) : at])
+            if b and (m := _RUE_NAME.match(text, last)):
+                begin, street_from = max(street_from, at - 12) + b.start(), m.end()
+                out["street"].append(("street", begin, street_from))
+        elif kind == "calle":
+            if (not at or not text[at - 1].isalnum()) and (m := _CALLE_NAME.match(text, last)):
+                street_from = m.end()
+                out["street"].append(("street", at, street_from))
+        else:
             floor = max(street_from, at - 140)
             if (last + 1 >= len(text) or not text[last + 1].isalnum()) and (m := _STREET.search(text[floor:at])):
                 out["street"].append(("street", floor + m.start(), last + 1))
@@ -176,8 +226,11 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """Counts by base kind, a digest of the base spans and all spans as a string."""
+    """Counts by base kind, a digest of the base spans, all spans as a string, and counts of what was added:
+    n_secret, n_account, n_street, n_url, and n_private, all kinds but plain addresses of pages."""
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*BASE)), one), ",")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", one), ",").alias("spans"))
+    private = F.size(F.filter("spans", lambda s: s["kind"] != "url")).cast("long").alias("n_private")
+    added = [count("secret"), count("iban").alias("n_account"), count("street"), count("url"), private]
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", one), ",").alias("spans"), *added)

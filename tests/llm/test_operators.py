@@ -75,6 +75,27 @@ def test_pii_added_spans():
         ("iban", "DE89 3704 0044 0532 0130 00"), ("url", "https://u@ex.com:80/a?b#c"), ("street", "12 Main Oak Street"),
     }
     assert not pii.find_spans("an account of the Street, iban none; http:// nothing xhttp://a")
+    found = {
+        'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y': {("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")},
+        "API_KEY: sk-Zz12_34567890.": {("secret", "sk-Zz12_34567890")},
+        "Authorization: Bearer abcDEF123456==": {("secret", "abcDEF123456==")},
+        "db.password=>'hunter2hunter2'": {("secret", "hunter2hunter2")},
+        "Er wohnt Lange Straße 12a, sie Birkenallee 7.": {("street", "Lange Straße 12a"), ("street", "Birkenallee 7")},
+        "au 12 bis, rue de la Paix et 5 avenue d'Italie": {("street", "12 bis, rue de la Paix"), ("street", "5 avenue d'Italie")},
+        "vive en Calle de Alcalá, 12 o Plaza Mayor 3": {("street", "Calle de Alcalá, 12"), ("street", "Plaza Mayor 3")},
+        "the token = value, a secret: nothing here, tokens = 123456789012, password = 1234567890123, er ging weg 12 Tage": set(),
+        "une rue de Paris, la calle vieja 12, ein Platz für 12 Leute, bearer of 12 gifts": set(),
+    }
+    for t, want in found.items():
+        assert {(k, t[a:b]) for k, a, b in pii.find_spans(t)} == want, t
+
+
+def test_added_spans_on_the_tables(spark):
+    """Every assigned token of the documents is found, whole, and nothing where none is."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        t = r["text"] or ""
+        want = [m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)]
+        assert [(a, b) for k, a, b in pii.find_spans(t) if k == "secret"] == want
 
 
 def test_pii_query(spark):
