@@ -6,7 +6,9 @@ the hashes of the eight-word windows) are bound once per row by ``_let``.
 
 Defined cases: a null or empty text has no words, fails the base rules and gives zero measures;
 repeated rows give repeated results; a ratio over an empty denominator is null and a rule on it
-counts as met. Eight-word windows are compared by 64-bit hashes.
+counts as met; an empty table gives an empty result; other columns are ignored. Eight-word windows are
+compared by 64-bit hashes. A text of any length is measured whole: its words and windows are arrays of
+one row, some thirty times its size while the row is worked on.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ ASCII white space, so each distinct word is encoded once by the library and the
 gathered from its words. A worker keeps words by two 64-bit keys and their bytes; a word whose keys
 are found but not its bytes is kept apart, so equal keys never give wrong ids.
 
-Defined cases: a null or empty text is a document with the end id only; null doc_ids come first,
-rows of equal doc_id are ordered by text, an empty table writes no block; other columns are ignored.
+Defined cases: a null or empty text is a document with the end id only; null doc_ids come first, rows
+of equal doc_id are ordered by text; a text of any length is encoded whole, its words some at a time,
+and cut over blocks; an empty table writes no block; other columns are ignored.
 """
 
 from __future__ import annotations

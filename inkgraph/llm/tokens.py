@@ -7,8 +7,8 @@ the vocabulary can lie across (``Encoder`` proves this from the pieces, or from
 splitting at white space), and where both encodings end a token and go on with the same tokens.
 Without such a position the overlap is doubled, at last up to the whole rest of the document.
 
-Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows count again; other
-columns are ignored.
+Defined cases: null and empty texts have 0 bytes and 0 tokens; rows with a null doc_id are rows like
+others; repeated rows count again; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
