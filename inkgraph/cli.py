@@ -1,4 +1,4 @@
-"""Command line: init, scan, export, path, clusters, gc, similar, suggest, visualize, watch."""
+"""Command line: init, scan, export, path, clusters, gc, similar, suggest, visualize, moc, watch."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from inkgraph.sources.notes import CACHE, MARKER, init_workspace, workspace_root
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="inkgraph", description=__doc__)
-    p.add_argument("command", choices=["init", "scan", "export", "path", "clusters", "gc", "similar", "suggest", "visualize", "watch"])
+    p.add_argument("command", choices=["init", "scan", "export", "path", "clusters", "gc", "similar", "suggest", "visualize", "moc", "watch"])
     p.add_argument("args", nargs="*")
     p.add_argument("--tag")
     p.add_argument("--status")
@@ -84,6 +84,8 @@ def main(argv: list[str] | None = None) -> int:
     elif o.command == "suggest":
         for r in g.suggest(o.threshold if o.threshold is not None else 0.1).collect():  # at most ten rows
             print(f"- [[{r['source']}]] <-> [[{r['target']}]] ({r['score']:.4f})")
+    elif o.command == "moc":
+        _write(out / "MOC.md", render.MOC_HEADER, g.map_of_content().orderBy("community"), "section")
     elif o.command == "visualize":
         both = render.graph_json(g.json_nodes(), g.json_links())
         _write(out / "graph.json", '{"nodes":[', both.where("kind = 'node'"), "json", ",", '],"links":[')

@@ -140,6 +140,15 @@ def json_nodes(notes: DataFrame, labels: DataFrame, ranks: DataFrame, groups: Da
     )
 
 
+#: Colours that a viewer of the graph tells groups apart by.
+COLORS = 10
+
+
+def node_colors(nodes: DataFrame) -> DataFrame:
+    """(id, color): the place in the palette of each node's group."""
+    return nodes.select("id", (F.col("group") % COLORS).alias("color"))
+
+
 def json_links(notes: DataFrame) -> DataFrame:
     """(source, target, type): targets as written, resolved or not."""
     return links_of(notes).select(F.col("src_title").alias("source"), "target", F.coalesce("nature", F.lit("link")).alias("type"))

@@ -285,6 +285,12 @@ _simple(
     'SELECT title AS id, title, dense_rank() OVER (ORDER BY component) AS "group", round(r, 6) AS rank FROM n JOIN comp USING (path) JOIN p10 USING (path)',
     O.components() + O.pagerank(),
 )
+_simple(
+    "node_colors",
+    lambda g: render.node_colors(g.json_nodes()),
+    "SELECT title AS id, (dense_rank() OVER (ORDER BY component) % 10)::BIGINT AS color FROM n JOIN comp USING (path)",
+    O.components(),
+)
 _simple("graph_json_links", lambda g: g.json_links(), "SELECT src_title AS source, target, coalesce(nature, 'link') AS type FROM link")
 
 
@@ -303,8 +309,9 @@ def scan_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", F.col("length").cast("long").alias("length"), F.sha2("content", 256).alias("hash"))
 
 
-_OLD = "SELECT path, length(path) AS mtime, md5(content) AS hash FROM n WHERE length(path) % 7 <> 0"
-_NEW = "SELECT path, length(path) + CASE WHEN length(content) % 3 = 0 THEN 1 ELSE 0 END AS mtime, CASE WHEN length(content) % 2 = 0 THEN 'new' ELSE md5(content) END AS hash FROM n WHERE length(path) % 5 <> 0"
+# A folder before the customers came and after the regions went.
+_OLD = "SELECT path, length(path) AS mtime, md5(content) AS hash FROM n WHERE path NOT LIKE 'customer/%'"
+_NEW = "SELECT path, length(path) + CASE WHEN length(content) % 3 = 0 THEN 1 ELSE 0 END AS mtime, CASE WHEN length(content) % 2 = 0 THEN 'new' ELSE md5(content) END AS hash FROM n WHERE path NOT LIKE 'region/%'"
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -347,7 +354,15 @@ def cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("path", "title", "id", "hash", "content", F.array_join("tags", "|").alias("tags"), F.size("links").cast("long").alias("n_links"), F.size("metadata").cast("long").alias("n_meta"))
 
 
-@_add("watch_events")
+@_add(
+    "watch_events",
+    O.chain(duckdb(KB))
+    + f""", o AS ({_OLD}), c AS ({_NEW}), ev AS (SELECT path, CASE WHEN c.mtime IS NULL THEN 'deleted' WHEN o.mtime IS NULL THEN 'created' WHEN c.mtime > o.mtime THEN 'updated' END AS event FROM o FULL JOIN c USING (path)),
+tl AS (SELECT path, string_agg('"' || tag || '"', ',' ORDER BY pos) AS s FROM tag GROUP BY path),
+ll AS (SELECT src AS path, string_agg('{{"target":"' || target || '"' || coalesce(',"nature":"' || nature || '"', '') || '}}', ',' ORDER BY pos) AS s FROM link GROUP BY src)
+SELECT '{{"event":"' || event || '","path":"' || path || '"' || CASE WHEN event = 'deleted' THEN '' ELSE ',"node":{{"title":"' || title || '","id":"' || id || '","tags":[' || coalesce(tl.s, '') || '],"links":[' || coalesce(ll.s, '') || ']}}' END || '}}' AS value
+FROM ev JOIN n USING (path) LEFT JOIN tl USING (path) LEFT JOIN ll USING (path) WHERE event IS NOT NULL""",
+)
 def watch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change feed's events for two snapshots of KB, as the stream renders them."""
     from inkgraph.streaming.watch import event_lines, events

@@ -79,6 +79,53 @@ def test_resolution_order(spark):
     assert got == {"y": ("c/y.md", "noext"), "y.md": ("c/y.md", "exact"), "": ("a/my y.md", "substring"), "zz": (None, None), "x.m": ("b/x.md", "substring")}
 
 
+def plain_communities(notes, links, passes=10):
+    """One level of moves by modularity gain over the whole graph, a note at a time in the order of paths.
+
+    ``links`` holds (source, target or None); a link weighs on both its ends, an unresolved one on its source.
+    """
+    total = len(links)
+    degree = {x: sum(a == x for a, _ in links) + sum(b == x for _, b in links) for x in notes}
+    own = {x: x for x in notes}
+    for _ in range(passes if total else 0):
+        moved = False
+        for x in sorted(notes):
+            near = {}
+            for a, b in links:
+                for y, z in ((a, b), (b, a)):
+                    if y == x and z is not None:
+                        near[own[z]] = near.get(own[z], 0) + 1
+            best, most = own[x], 0.0
+            for c in sorted(near):  # a community is named by the note it began with
+                weight = sum(degree[y] for y in notes if own[y] == c)
+                gain = near[c] / total - weight * degree[x] / (2.0 * total * total)
+                if c != own[x] and gain > most:
+                    best, most = c, gain
+            if best != own[x]:
+                own[x], moved = best, True
+        if not moved:
+            break
+    groups = {}
+    for x, c in own.items():
+        groups.setdefault(c, set()).add(x)
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_communities_by_a_plain_implementation(spark, seed):
+    r = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(18)]
+    targets = {x: [r.choice(names[: 9 if i < 9 else 18]) for _ in range(r.randint(0, 4))] + ["nowhere"] * (r.random() < 0.2) for i, x in enumerate(names)}
+    g = made(spark, {f"{x}.md": " ".join(f"[[{t}]]" for t in ts) for x, ts in targets.items()})
+    links = [(f"{x}.md", f"{t}.md" if t != "nowhere" else None) for x, ts in targets.items() for t in ts]
+    groups = {}
+    for row in g.communities.collect():
+        groups.setdefault(row["community"], set()).add(row["path"])
+    assert {frozenset(x) for x in groups.values()} == plain_communities([f"{x}.md" for x in names], links)
+    first = [min(x) for _, x in sorted(groups.items())]
+    assert sorted(groups) == list(range(len(groups))) and first == sorted(first)
+
+
 def test_communities_refine_components(spark):
     g = made(spark, {"A.md": "[[B]]", "B.md": "[[C]]", "C.md": "", "D.md": "[[E]]", "E.md": "", "F.md": ""})
     got = g.communities.join(g.components, "path")

@@ -34,7 +34,7 @@ def test_query(spark, db, name):
 
 
 def test_without_sql(spark):
-    assert set(queries.QUERIES) - set(queries.SQL) == {"communities", "communities_mini", "moc", "moc_mini", "watch_events"}
+    assert set(queries.QUERIES) - set(queries.SQL) == {"communities", "communities_mini", "moc", "moc_mini"}
     assert queries.QUERIES["watch_events"](spark, SF).count() > 0
     moc = queries.QUERIES["moc_mini"](spark, SF).collect()
     assert sum(r["size"] for r in moc) == 25 and all(r["section"].startswith("## Community ") for r in moc)

@@ -139,13 +139,15 @@ def test_workspace_and_commands(spark, tmp_path, monkeypatch, capsys):
     write(ws, {"a.md": "---\nstatus: on\n---\nsome shared words [[b]] #t", "b.md": "some shared words", "c.md": "alone"})
     monkeypatch.setattr(cli, "session", lambda: spark)
     monkeypatch.chdir(ws)
-    for command in (["scan"], ["scan", "--tag", "t"], ["export", "--status", "on"], ["path", "a", "b"], ["clusters"], ["gc"], ["similar", "a"], ["suggest"], ["visualize"]):
+    for command in (["scan"], ["scan", "--tag", "t"], ["export", "--status", "on"], ["path", "a", "b"], ["clusters"], ["gc"], ["similar", "a"], ["suggest"], ["visualize"], ["moc"]):
         assert cli.main(command) == 0
     assert cli.main(["path", "a"]) == cli.main(["similar"]) == 2
     out = capsys.readouterr().out
     assert "3 notes" in out and "1 notes" in out and "### Node: a.md" in out and json.loads((ws / ".li/cache.json").read_text())["version"] == 1 and "a.md -> b.md" in out and "orphan c.md" in out
     assert (tmp_path / "llm_knowledge.md").read_text().startswith("# LLM Knowledge Bundle\n") and "**PageRank:** 0.0500" in (tmp_path / "llm_knowledge.md").read_text()
     assert (tmp_path / "map.csv").read_text().startswith("id,path,tags,") and len((tmp_path / "map.csv").read_text().splitlines()) == 4
+    moc = (tmp_path / "MOC.md").read_text()
+    assert moc.startswith("# Map of Content (MOC)\n") and moc.count("## Community ") == 2 and "- [[c.md]] (c.md)\n" in moc
     graph = json.loads((tmp_path / "graph.json").read_text())
     assert len(graph["nodes"]) == 3 and graph["links"] == [{"source": "a.md", "target": "b", "type": "link"}]
     monkeypatch.chdir(tmp_path)
