@@ -133,11 +133,14 @@ class WordEncoder:
         """The ids of words. Words of Latin letters, but for points and commas after them, go
         straight to the library's merges; case is lost in them anyway, as in all."""
         out: list = [None] * len(words)
-        rest = []
+        rest, tokenize = [], self.model.tokenize
         for i, w in enumerate(words):
+            if self.by_model and w.isascii() and w.isalpha():
+                out[i] = [t.id for t in tokenize(w.lower())]
+                continue
             stem = w.rstrip(".,")
             if self.by_model and self.plain(low := stem.lower()):
-                out[i] = [t.id for t in self.model.tokenize(low if low.isascii() else _byte_letters(low))] + self._tail(w[len(stem) :])
+                out[i] = [t.id for t in tokenize(low if low.isascii() else _byte_letters(low))] + self._tail(w[len(stem) :])
             else:
                 rest.append(i)
         if rest:
