@@ -40,7 +40,7 @@ from inkgraph.plans.tables import Scratch
 
 END = 1
 #: Twice the distinct words a worker keeps; when they are full, those not met again are dropped.
-SLOTS = 1 << 21
+SLOTS = 1 << 22
 WORDS_AT_ONCE = 1 << 18
 SLICE_BYTES = 4 << 20
 FILE = "part int, block int, n_ids long, payload binary"
@@ -55,9 +55,13 @@ def _letter_of_byte() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _letters() -> dict[int, str]:
+    return dict(enumerate(_letter_of_byte()))
+
+
 def _byte_letters(word: str) -> str:
-    letters = _letter_of_byte()
-    return "".join([letters[b] for b in word.encode()])
+    return word.encode().decode("latin-1").translate(_letters())
 
 
 _IS_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
@@ -93,8 +97,9 @@ class WordEncoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _forget(self) -> None:
-        self.keys, self.checks = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        # Slots hold numbers of words; keys and checks are by number, so those of frequent words lie together.
         self.value = np.full(SLOTS, -1, np.int32)
+        self.keys, self.checks = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
         self.flat, self.first, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
         # The bytes of the words, one after the other, and where each begins.
         self.bytes, self.begin = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int64)
@@ -103,20 +108,26 @@ class WordEncoder:
 
     def _shrink(self) -> None:
         """Keep the words that were met again, unless they fill half of what is kept."""
-        slot = np.flatnonzero(self.value >= 0)
-        slot = slot[self.met[self.value[slot]]]
-        if len(slot) > SLOTS // 4:
+        old = np.flatnonzero(self.met[: self.n])
+        if len(old) > SLOTS // 4:
             self._forget()
             return
-        old, h, check = self.value[slot], self.keys[slot], self.checks[slot]
+        h, check = self.keys[old], self.checks[old]
         flat, first, text, begin = self.flat, self.first, self.bytes, self.begin
         self._forget()
         sizes = {"flat": first[old + 1] - first[old], "bytes": begin[old + 1] - begin[old]}
         self._extend("flat", "first", flat[_ranges(first[old], sizes["flat"])], sizes["flat"])
         self._extend("bytes", "begin", text[_ranges(begin[old], sizes["bytes"])], sizes["bytes"])
+        self._grow(len(old))
         self._put(h, check, np.arange(len(old), dtype=np.int32))
         self.n = len(old)
 
+    def _grow(self, n: int) -> None:
+        """Room for n more words in what is kept by number."""
+        if self.n + n > len(self.met):
+            more = max(self.n + n - len(self.met), len(self.met))
+            self.met, self.keys, self.checks = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.met, self.keys, self.checks))
+
     def _extend(self, values: str, first: str, new: np.ndarray, sizes: np.ndarray) -> None:
         """Values of words that follow the last one."""
         at = getattr(self, first)
@@ -161,20 +172,22 @@ class WordEncoder:
         out, i = np.full(len(h), -1, np.int32), np.arange(len(h))
         slot = (h & U(SLOTS - 1)).astype(np.int64)
         while len(i):
-            v, here = self.value[slot], (self.keys[slot] == h[i]) & (self.checks[slot] == check[i])
+            v = self.value[slot]
+            here = (v >= 0) & (self.keys[v] == h[i]) & (self.checks[v] == check[i])
             out[i[here]] = v[here]
             go = ~here & (v >= 0)
             i, slot = i[go], (slot[go] + 1) & (SLOTS - 1)
         return out
 
     def _put(self, h: np.ndarray, check: np.ndarray, number: np.ndarray) -> None:
+        self.keys[number], self.checks[number] = h, check
         slot = (h & U(SLOTS - 1)).astype(np.int64)
         i = np.arange(len(h))
         while len(i):
             free = np.flatnonzero(self.value[slot] < 0)
             at, one = np.unique(slot[free], return_index=True)  # one of those that want a slot gets it
             got = free[one]
-            self.value[at], self.keys[at], self.checks[at] = number[i[got]], h[i[got]], check[i[got]]
+            self.value[at] = number[i[got]]
             left = np.ones(len(i), bool)
             left[got] = False
             i, slot = i[left], (slot[left] + 1) & (SLOTS - 1)
@@ -187,8 +200,7 @@ class WordEncoder:
         sizes = np.array([len(c) for c in coded], np.int64)
         self._extend("flat", "first", np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum())), sizes)
         self._extend("bytes", "begin", np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw], np.int64))
-        if self.n + len(raw) > len(self.met):
-            self.met = np.concatenate([self.met, np.zeros(max(self.n + len(raw) - len(self.met), len(self.met)), bool)])
+        self._grow(len(raw))
         if keys:
             self._put(*keys, number)
         self.n += len(raw)
@@ -214,17 +226,16 @@ class WordEncoder:
         """The words with points and commas after a Latin letter as words of their own."""
         if not self.by_model or not len(starts):
             return starts, ends, first
-        tail = np.zeros(len(starts), np.int64)
-        for k in range(1, 5):
-            at = ends - k
-            tail[(at > starts) & (tail == k - 1) & _IS_TAIL[texts.data[np.maximum(at, 0)]]] = k
-        tail[~_IS_LETTER[texts.data[ends - tail - 1]]] = 0
-        cut = np.flatnonzero(tail)
-        place = np.arange(len(starts) + 1) + np.concatenate([[0], np.cumsum(tail > 0)])
-        s, e = np.empty(place[-1], np.int64), np.empty(place[-1], np.int64)
-        s[place[:-1]], e[place[:-1]] = starts, ends - tail
-        s[place[cut] + 1], e[place[cut] + 1] = ends[cut] - tail[cut], ends[cut]
-        return s, e, place[first]
+        cut = np.flatnonzero(_IS_TAIL[texts.data[ends - 1]] & (ends - starts > 1))
+        tail = np.ones(len(cut), np.int64)
+        for k in range(2, 5):
+            at = ends[cut] - k
+            tail[(at > starts[cut]) & (tail == k - 1) & _IS_TAIL[texts.data[at]]] = k
+        after = _IS_LETTER[texts.data[ends[cut] - tail - 1]]
+        cut, tail = cut[after], tail[after]
+        stop = ends.copy()
+        stop[cut] -= tail
+        return np.insert(starts, cut + 1, stop[cut]), np.insert(stop, cut + 1, ends[cut]), first + np.searchsorted(cut, first)
 
     def _folded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The bytes in lower case if case is lost, but for special strings, which hold ``<|``."""
