@@ -140,24 +140,42 @@ class WordEncoder:
             setattr(self, values, np.resize(getattr(self, values), max(need + 8, 2 * len(getattr(self, values)))))
         getattr(self, values)[used:need] = new
 
-    def _code(self, words: list[str]) -> list[list[int]]:
-        """The ids of words. Words of Latin letters, but for points and commas after them, go
-        straight to the library's merges; case is lost in them anyway, as in all."""
-        out: list = [None] * len(words)
-        rest, tokenize = [], self.model.tokenize
+    def _code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one word after the other, and how many each has. Words of Latin letters, but
+        for points and commas after them, go straight to the library's merges; case is lost in them
+        anyway, as in all. Ids go into one list: a list for each word would keep the garbage collector busy."""
+        ids: list[int] = []
+        sizes, rest, tokenize = [0] * len(words), [], self.model.tokenize
         for i, w in enumerate(words):
-            if self.by_model and w.isascii() and w.isalpha():
-                out[i] = [t.id for t in tokenize(w.lower())]
-                continue
-            stem = w.rstrip(".,")
-            if self.by_model and self.plain(low := stem.lower()):
-                out[i] = [t.id for t in tokenize(low if low.isascii() else _byte_letters(low))] + self._tail(w[len(stem) :])
+            tail = ""
+            if not (self.by_model and w.isascii() and w.isalpha()):
+                stem = w.rstrip(".,")
+                if not self.by_model or not self.plain(low := stem.lower()):
+                    rest.append(i)
+                    continue
+                w, tail = low if low.isascii() else _byte_letters(low), w[len(stem) :]
             else:
-                rest.append(i)
-        if rest:
-            for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = e.ids
-        return out
+                w = w.lower()
+            found = tokenize(w)
+            ids += [t.id for t in found]
+            sizes[i] = len(found)
+            if tail:
+                ids += self._tail(tail)
+                sizes[i] += len(self._tail(tail))
+        count = np.array(sizes, np.int64)
+        if not rest:
+            return np.array(ids, np.int32), count
+        for a in range(0, len(rest), 4096):
+            for i, e in zip(rest[a : a + 4096], self.library.encode_batch_fast([words[i] for i in rest[a : a + 4096]], add_special_tokens=False), strict=True):
+                ids += e.ids
+                count[i] = len(e.ids)
+        # The words that went to the library whole come last; put all in their order.
+        late = np.zeros(len(words), bool)
+        late[rest] = True
+        order = np.argsort(late, kind="stable")
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return np.array(ids, np.int32)[_ranges(begin, count)], count
 
     def _tail(self, text: str) -> list[int]:
         if text not in self.tails:
@@ -194,16 +212,19 @@ class WordEncoder:
 
     def _learn(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
         """The numbers of new words, the runs of ``part``; without keys they are not entered in the table."""
-        raw = [part[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        coded = self._code([w.decode() for w in raw])
-        number = np.arange(self.n, self.n + len(raw), dtype=np.int32)
-        sizes = np.array([len(c) for c in coded], np.int64)
-        self._extend("flat", "first", np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum())), sizes)
-        self._extend("bytes", "begin", np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw], np.int64))
-        self._grow(len(raw))
+        size = ends - starts
+        # The words between line feeds, which are in none of them, so that they are decoded at once.
+        lines = np.full(int(size.sum()) + len(size), 0x0A, np.uint8)
+        text = part[_ranges(starts, size)]
+        lines[np.arange(len(text)) + np.repeat(np.arange(len(size)), size)] = text
+        ids, count = self._code(lines.tobytes().decode().split("\n")[:-1])
+        number = np.arange(self.n, self.n + len(size), dtype=np.int32)
+        self._extend("flat", "first", ids, count)
+        self._extend("bytes", "begin", text, size)
+        self._grow(len(size))
         if keys:
             self._put(*keys, number)
-        self.n += len(raw)
+        self.n += len(size)
         return number
 
     def _other(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
