@@ -3,7 +3,8 @@
 A target names the note whose title it is, else the one whose title without ``.md`` it is, else the
 first whose title holds it; among equals the smallest path. The first two are one equi-join. The
 last concerns only distinct targets that missed: each probes the titles by its rarest substring of
-up to three characters, so the work follows the matches and not targets times titles.
+three characters, so the work follows the matches and not targets times titles; a target that short
+itself has the smallest path of its substring, an aggregate that no title is joined for.
 """
 
 from __future__ import annotations
@@ -36,11 +37,12 @@ def containing(needles: DataFrame, notes: DataFrame) -> DataFrame:
     needles = needles.select("target").where("target is not null").distinct()
     titles = notes.select("path", "title")
     size = F.char_length("target")
-    probes = needles.where(size > 0).select("target", F.explode(F.when(size >= GRAM, _grams(F.col("target"), GRAM)).otherwise(F.array("target"))).alias("gram"))
-    wanted = probes.select("gram").distinct()
+    probes = needles.where(size > GRAM).select("target", F.explode(_grams(F.col("target"), GRAM)).alias("gram"))
+    short = needles.where((size > 0) & (size <= GRAM))
+    wanted = probes.select("gram").unionAll(short.select(F.col("target").alias("gram"))).distinct()
     every = F.concat(*[_grams(F.col("title"), k) for k in range(1, GRAM + 1)])
     held = titles.select("path", "title", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi")
-    rarity = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarity = held.groupBy("gram").agg(F.count("*").alias("n"), F.min("path").alias("first"))
     # A gram that no title holds makes a match impossible; else the rarest gram alone is probed.
     ranked = probes.join(rarity, "gram", "left").groupBy("target").agg(
         F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
@@ -48,7 +50,8 @@ def containing(needles: DataFrame, notes: DataFrame) -> DataFrame:
     met = ranked.where("least > 0").join(held, "gram").where(F.col("title").contains(F.col("target")))
     some = met.groupBy("target").agg(F.min("path").alias("path"))
     empty = needles.where(size == 0).crossJoin(titles.agg(F.min("path").alias("path"))).where("path is not null")
-    return some.unionAll(empty.select("target", "path"))
+    brief = short.join(rarity, F.col("target") == F.col("gram")).select("target", F.col("first").alias("path"))
+    return some.unionAll(brief).unionAll(empty.select("target", "path"))
 
 
 def resolve(needles: DataFrame, notes: DataFrame) -> DataFrame:

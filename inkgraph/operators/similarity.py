@@ -19,6 +19,8 @@ from inkgraph.plans.tables import Scratch
 
 #: Less than single-precision rounding can bring a score up to the threshold.
 EPS = 1e-6
+#: Below any score of two sets with a word in common.
+LEAST_SCORE = 1e-12
 
 
 def word_sets(notes: DataFrame) -> DataFrame:
@@ -82,13 +84,13 @@ def _score(a: Column, b: Column) -> Column:
 def similar_notes(notes: DataFrame, needle: str, k: int = 5) -> DataFrame:
     """(path, title, score): the k notes most like the one that ``needle`` names, best first.
 
-    The one note's words ride along with the plan; all others are scored in one narrow pass.
+    The one note is a broadcast row; all others are scored in one narrow pass.
     """
-    one = find_by_title(notes, needle).select("path", word_set(F.col("content")).alias("words")).head()
-    if one is None:
+    one = find_by_title(notes, needle).select(F.col("path").alias("_p"), word_set(F.col("content")).alias("_own"))
+    if one.isEmpty():
         raise LookupError(f"no note is named {needle!r}")
-    own = F.array(*[F.lit(w) for w in one["words"]]) if one["words"] else F.array().cast("array<string>")
-    scored = word_sets(notes).where(F.col("path") != one["path"]).select("path", "title", _rounded(_score(F.col("words"), own)).alias("score"))
+    met = word_sets(notes).join(F.broadcast(one), F.col("path") != F.col("_p"))
+    scored = met.select("path", "title", _rounded(_score(F.col("words"), F.col("_own"))).alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), "path").limit(k)
 
 
@@ -119,6 +121,24 @@ def _partners(sources: DataFrame, classes: DataFrame) -> DataFrame:
     return met.select(F.col("path").alias("source"), F.col("pb").alias("target"), "score")
 
 
+def _filled(notes: DataFrame, some: DataFrame, k: int) -> DataFrame:
+    """``some`` pairs and, up to k, the first unlinked ones without a word in common, one source after the other."""
+    rows = notes.select("path", F.col("title").alias("tb"), F.col("links").alias("lb"), word_set(F.col("content")).alias("wb"))
+    n, after = some.count(), None
+    while n < k:
+        source = (rows if after is None else rows.where(F.col("path") > after)).orderBy("path").limit(1)
+        at = source.select("path").head()
+        if at is None:
+            break
+        after = at["path"]
+        one = source.select(F.col("path").alias("source"), F.col("tb").alias("ta"), F.col("lb").alias("la"), F.col("wb").alias("wa"))
+        met = rows.join(F.broadcast(one), F.col("path") > F.col("source")).where(~_linked() & (_score(F.col("wa"), F.col("wb")) == 0))
+        more = met.select("source", F.col("path").alias("target"), F.lit(0.0).alias("score")).orderBy("target").limit(k - n)
+        some = some.unionByName(Scratch(notes.sparkSession, "suggest").keep(more, "more"))
+        n = some.count()
+    return some
+
+
 def suggest_links(notes: DataFrame, threshold: float = 0.1, k: int = 10) -> DataFrame:
     """(source, target, score): the k most similar pairs of notes that are not linked yet.
 
@@ -126,7 +146,13 @@ def suggest_links(notes: DataFrame, threshold: float = 0.1, k: int = 10) -> Data
     distinct scores, only until k unlinked pairs are found; within a step by the first note of a pair,
     one note of each pair of classes, then two, four and so on, only while a later one could still
     come before the k-th pair found. So copies cost one row each unless their pairs are linked.
+
+    A threshold of 0 or less admits pairs with nothing in common too: they come last, by path.
     """
+    if threshold <= 0:
+        some = suggest_links(notes, LEAST_SCORE, k)
+        some = Scratch(notes.sparkSession, "suggest").keep(some, "some")
+        return _filled(notes, some, k).orderBy(F.desc("score"), "source", "target").limit(k)
     scratch = Scratch(notes.sparkSession, "suggest")
     pairs = scratch.keep(class_pairs(notes, threshold).select("source", "target", _rounded(F.col("score")).alias("score")), "pairs")
     classes = scratch.keep(set_classes(notes).where("n_words > 0"), "classes")
