@@ -81,10 +81,10 @@ def test_resolution_order(spark):
 
 @pytest.mark.parametrize("threshold", [0.0, -1.0])
 def test_suggestions_without_a_threshold(spark, threshold):
-    notes = {"a.md": "one word here", "b.md": "other text there", "c.md": "word here again [[d]]", "d.md": "nothing shared at all", "e.md": "[[a]]"}
+    notes = {"ant.md": "one word here", "bee.md": "other text there", "cat.md": "word here again [[dog]]", "dog.md": "nothing shared at all", "eel.md": "[[ant]]"}
     g = made(spark, notes)
     words = {p: {w for w in re.findall(r"[a-z0-9]+", t.lower()) if len(w) > 3} for p, t in notes.items()}
-    pairs_ = [(a, b) for a in notes for b in notes if a < b and (a, b) not in {("c.md", "d.md"), ("a.md", "e.md")}]
+    pairs_ = [(a, b) for a in notes for b in notes if a < b and (a, b) not in {("cat.md", "dog.md"), ("ant.md", "eel.md")}]
     score = lambda a, b: len(words[a] & words[b]) / len(words[a] | words[b]) if words[a] and words[b] else 0.0
     want = sorted((-round(score(a, b), 4), a, b) for a, b in pairs_)[:6]
     assert [(-round(r["score"], 4), r["source"], r["target"]) for r in g.suggest(threshold, 6).collect()] == want
