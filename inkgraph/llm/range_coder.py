@@ -128,7 +128,7 @@ def _compress(ids: np.ndarray, vocabulary: int) -> bytes:
     low, rng = np.zeros(lanes, U), np.full(lanes, np.iinfo(U).max, U)
     room = 4 * steps + 4
     out, pos = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
-    by_step = np.zeros(lanes * steps, np.int64)
+    by_step = np.zeros(lanes * steps, np.int32)
     by_step[: len(ids)] = ids
     by_step = np.ascontiguousarray(by_step.reshape(lanes, steps).T)
     for s in range(steps):

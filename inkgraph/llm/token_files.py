@@ -40,8 +40,12 @@ from inkgraph.plans.tables import Scratch
 
 END = 1
 #: Twice the distinct words a worker keeps; when they are full, those not met again are dropped.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
+#: Bytes of words beyond which a worker starts afresh.
+WORD_BYTES = 1 << 26
 WORDS_AT_ONCE = 1 << 18
+#: New words coded at once, which are Python objects for as long.
+NEW_AT_ONCE = 1 << 14
 SLICE_BYTES = 4 << 20
 FILE = "part int, block int, n_ids long, payload binary"
 DOCS = "part int, block int, place long, doc_id long, pieces int, n long, crc long"
@@ -68,6 +72,15 @@ _IS_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 _IS_TAIL = np.array([chr(b) in ".," for b in range(256)])
 
 
+def _longer(x: np.ndarray, need: int) -> np.ndarray:
+    """``x``, with zeros after it if it is shorter than needed; they take no memory until written."""
+    if need <= len(x):
+        return x
+    out = np.zeros(max(need, len(x) * 3 // 2), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class WordEncoder:
     """Ids of texts through the library's ids of their distinct words."""
 
@@ -100,18 +113,17 @@ class WordEncoder:
         # Slots hold numbers of words; keys and checks are by number, so those of frequent words lie together.
         self.value = np.full(SLOTS, -1, np.int32)
         self.keys, self.checks = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
-        self.flat, self.first, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+        self.flat, self.first, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int32), 0
         # The bytes of the words, one after the other, and where each begins.
-        self.bytes, self.begin = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int64)
+        self.bytes, self.begin = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int32)
         self.apart: dict[bytes, int] = {}
         self.met = np.zeros(1 << 14, bool)  # words found again since they were learned or kept
 
     def _shrink(self) -> None:
-        """Keep the words that were met again, unless they fill half of what is kept."""
-        old = np.flatnonzero(self.met[: self.n])
-        if len(old) > SLOTS // 4:
-            self._forget()
-            return
+        """Keep the words that were met again: at most half of the room, those learned first."""
+        old = np.flatnonzero(self.met[: self.n])[: SLOTS // 4]
+        if self.begin[self.n] > WORD_BYTES:
+            old = old[:0]
         h, check = self.keys[old], self.checks[old]
         flat, first, text, begin = self.flat, self.first, self.bytes, self.begin
         self._forget()
@@ -124,20 +136,15 @@ class WordEncoder:
 
     def _grow(self, n: int) -> None:
         """Room for n more words in what is kept by number."""
-        if self.n + n > len(self.met):
-            more = max(self.n + n - len(self.met), len(self.met))
-            self.met, self.keys, self.checks = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.met, self.keys, self.checks))
+        self.met, self.keys, self.checks = (_longer(x, self.n + n) for x in (self.met, self.keys, self.checks))
 
     def _extend(self, values: str, first: str, new: np.ndarray, sizes: np.ndarray) -> None:
         """Values of words that follow the last one."""
-        at = getattr(self, first)
-        if self.n + len(sizes) + 1 > len(at):
-            at = np.resize(at, max(self.n + len(sizes) + 1, 2 * len(at)))
-            setattr(self, first, at)
+        at = _longer(getattr(self, first), self.n + len(sizes) + 1)
+        setattr(self, first, at)
         at[self.n + 1 : self.n + 1 + len(sizes)] = at[self.n] + np.cumsum(sizes)
         used, need = int(at[self.n]), int(at[self.n + len(sizes)])
-        if need + 8 > len(getattr(self, values)):  # the last lane is read whole
-            setattr(self, values, np.resize(getattr(self, values), max(need + 8, 2 * len(getattr(self, values)))))
+        setattr(self, values, _longer(getattr(self, values), need + 8))  # the last lane is read whole
         getattr(self, values)[used:need] = new
 
     def _code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,14 +293,16 @@ class WordEncoder:
             n = self._find(h, check)
             self.met[n[n >= 0]] = True
             new = np.flatnonzero(n < 0)
-            if self.n + len(new) > SLOTS // 2:
+            if self.n + len(new) > SLOTS // 2 or self.begin[self.n] > WORD_BYTES:
                 self._shrink()
                 n = self._find(h, check)
                 new = np.flatnonzero(n < 0)
             if len(new):
                 _, one = np.unique(h[new] ^ (check[new] * U(0x9E3779B97F4A7C15)), return_index=True)
                 w = new[one]
-                self._learn(part, s[w], e[w], (h[w], check[w]))
+                for k in range(0, len(w), NEW_AT_ONCE):
+                    some = w[k : k + NEW_AT_ONCE]
+                    self._learn(part, s[some], e[some], (h[some], check[some]))
                 n[new] = self._find(h[new], check[new])
             for w in self._other(part, s, e, n).tolist():
                 word = part[s[w] : e[w]].tobytes()
