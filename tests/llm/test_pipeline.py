@@ -72,5 +72,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_trained_languages(spark):
-    model = language.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang"))
+    [model] = language.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang"))
     assert model.languages == ["de", "en", "es", "fr"]
