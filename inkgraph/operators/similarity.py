@@ -2,21 +2,28 @@
 
 Notes with equal word sets are one class, so copies cost one row each and never a pair each. The
 join is exact for thresholds above 0: words are ordered from the rarest on, two sets at the
-threshold must share a word among their first ``|A| - ceil(t |A|) + 1``, and their sizes must be
-within a factor t. Only those first words are joined on, and only where the words left after the
-place of the shared one can still bring the pair to the threshold; the pairs are then confirmed on
-the whole sets.
+threshold must share several of their first words, and their sizes must be within a factor t
+(``set_join``). Sets of neighbouring sizes are broadcast, so many at once, and all that are large
+enough are held against them where they lie; only pairs that may reach the threshold become rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgraph.functions.text import jaccard, word_set
+from inkgraph.operators import set_join
 from inkgraph.operators.resolve import find_by_title
+from inkgraph.plans import sieve
 from inkgraph.plans.tables import Scratch
 
+#: Most sets and words that are broadcast at once (a larger set alone).
+PASS_SETS, PASS_WORDS = 1 << 15, 6_000_000
 #: Less than single-precision rounding can bring a score up to the threshold.
 EPS = 1e-6
 #: Below any score of two sets with a word in common.
@@ -49,34 +56,104 @@ def class_pairs(notes: DataFrame, threshold: float) -> DataFrame:
     source and target are the classes' representatives, source < target."""
     if threshold <= 0:
         raise ValueError("a threshold of 0 or less admits all pairs")
-    scratch = Scratch(notes.sparkSession, "similarity")
+    spark = notes.sparkSession
+    scratch = Scratch(spark, "similarity")
     t = max(threshold - EPS, EPS)
-    reps = _keyed(notes).where("n_words > 0").groupBy("fp").agg(F.min_by(F.struct("path", "words"), "path").alias("r"))
-    sets = scratch.keep(reps.select("r.path", "r.words"), "sets")
-    exploded = sets.select("path", F.size("words").alias("n"), F.explode("words").alias("word"))
-    rarity = exploded.groupBy("word").agg(F.count("*").alias("df"))
-    # The word's place in the order from the rarest on, as one sortable value.
-    ordered = exploded.join(rarity, "word").groupBy("path", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
-    first = (F.col("n") - F.ceil(F.col("n") * t - EPS) + 1).cast("int")
-    prefix = ordered.select("path", "n", F.posexplode(F.slice("o", F.lit(1), first)).alias("pos", "w")).select("path", "n", "pos", "w.word")
-    prefix = scratch.keep(prefix, "prefixes")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    # At the first word they share, two sets can still have so many words in common.
-    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    on = (
-        (F.col("a.word") == F.col("b.word"))
-        & (F.col("a.path") < F.col("b.path"))
-        & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * t - EPS)
-        & (rest >= (F.col("a.n") + F.col("b.n")) * (t / (1 + t)) - EPS)
-    )
-    # The sides are not broadcast: they are far larger than their compressed files.
-    met = a.join(b.hint("merge"), on).select(F.col("a.path").alias("source"), F.col("b.path").alias("target")).distinct()
-    sa = sets.select(F.col("path").alias("source"), F.col("words").alias("wa"))
-    sb = sets.select(F.col("path").alias("target"), F.col("words").alias("wb"))
-    scored = met.join(sa, "source").join(sb, "target").select("source", "target", _score(F.col("wa"), F.col("wb")).alias("score"))
+    hashed = F.transform("words", lambda w: F.xxhash64(w))
+    every = _keyed(notes).where("n_words > 0 and path is not null")
+    every, every_at = scratch.keep_at(every.select("path", F.unhex("fp").alias("fp"), F.col("n_words").alias("n"), hashed.alias("words")), "hashed")
+    sets = scratch.keep(_from_the_rarest(_representatives(every, scratch)).sortWithinPartitions("n"), "sets")
+    scratch.drop(every_at)
+    sizes = sorted((r["n"], r["count"]) for r in sets.groupBy("n").count().collect())
+    met = spark.createDataFrame([], PAIR)
+    for low, high, part, parts in _passes(sizes):
+        block = sets.where(F.col("n").between(low, high))
+        if parts > 1:
+            block = block.where(F.pmod(F.xxhash64("fp"), F.lit(parts)) == part)
+        probes = sets.where((F.col("n") >= low) & (F.col("n") * t - EPS <= high))
+        met = met.unionAll(_met(block, probes, t, scratch))
+    scored = met.select("source", "target", jaccard(F.col("common"), F.col("na"), F.col("nb")).alias("score"))
     return scored.where(F.col("score") >= F.lit(threshold).cast("float"))
 
 
+PAIR = "source string, target string, common long, na long, nb long"
+
+
+def _representatives(every: DataFrame, scratch: Scratch) -> DataFrame:
+    """The first row by path of each fingerprint; only the others' rows are moved with their words."""
+    named = every.select("fp", "path")
+    several = named.groupBy("fp").agg(F.min("path").alias("rep"), F.count("*").alias("c")).where("c > 1")
+    several = scratch.keep(several.select("fp", "rep"), "several")
+    shared = sieve.split(named, ["fp"], several)[0].groupBy("fp", "path").agg(F.count("*").alias("c")).join(several, "fp")
+    moved = scratch.keep(shared.where("path != rep or c > 1").select("fp", "path", F.expr("path = rep").alias("stays")), "moved")
+    concerned, clear = sieve.split(every, ["fp", "path"], moved)
+    concerned = concerned.join(moved, ["fp", "path"], "left").where("coalesce(stays, true)").dropDuplicates(["fp"])
+    return clear.unionByName(concerned.drop("stays"))
+
+
+def _from_the_rarest(sets: DataFrame) -> DataFrame:
+    """The sets' words as bytes, in the order of how often words of their bucket are found."""
+    bucket = F.col("w").bitwiseAND(F.lit((1 << set_join.RARITY_BITS) - 1)).cast("int")
+    counts = sets.select(F.explode("words").alias("w")).groupBy(bucket.alias("b")).count().toArrow()
+    level = set_join.levels(counts["b"].to_numpy(), counts["count"].to_numpy())
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = batch.column(3), batch.column(2)
+            found = set_join.ordered(words.flatten().to_numpy(), n.to_numpy(), level)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(found, pa.binary())], names=["path", "fp", "n", "words"])
+
+    return sets.select("path", "fp", "n", "words").mapInArrow(order, "path string, fp binary, n long, words binary")
+
+
+def _passes(sizes: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(low, high, part, parts): sizes that are broadcast together, or a size whose sets are dealt into parts."""
+    low = high = sets = words = 0
+    for n, count in sizes:
+        if sets and (sets + count > PASS_SETS or words + n * count > PASS_WORDS):
+            yield low, high, 0, 1
+            sets = words = 0
+        if count > PASS_SETS or (n * count > PASS_WORDS and count > 1):
+            parts = min(count, max(-(-count // PASS_SETS), -(-n * count // PASS_WORDS)))
+            yield from ((n, n, part, parts) for part in range(parts))
+            continue
+        low, high, sets, words = n if not sets else low, n, sets + count, words + n * count
+    if sets:
+        yield low, high, 0, 1
+
+
+def _met(block: DataFrame, probes: DataFrame, t: float, scratch: Scratch) -> DataFrame:
+    """Pairs of one of the block's sets with one of ``probes`` of no less than its size, as PAIR, each pair once."""
+    rows = block.toArrow().sort_by("n")
+    sizes, sets = rows["n"].to_numpy(), rows["words"].to_pylist()
+    names = rows["path"].to_pylist(), rows["fp"].to_pylist()
+    del rows
+    sent = block.sparkSession.sparkContext.broadcast((list(set_join.blocks(sizes, sets, t)), names))
+    del sets
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, (paths, fps) = sent.value
+        for batch in batches:
+            own, prints, n, words = batch.column(0), batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+            for first, some in held:
+                for i, j in some.candidates(n, words):
+                    # Of two sets of one size each meets the other.
+                    once = [some.sizes[y] < n[x] or fps[first + y] < prints[x].as_py() for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                    i, j = i[once], j[once]
+                    if not len(i):
+                        continue
+                    common = some.common(words, i, j)
+                    a, b = own.take(pa.array(i)).to_pylist(), [paths[first + y] for y in j.tolist()]
+                    ends = [(x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True)]
+                    columns = [[x for x, _ in ends], [y for _, y in ends], common, n[i], some.sizes[j]]
+                    met = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["source", "target", "common", "na", "nb"])
+                    yield met.filter(pa.array([x != y for x, y in ends]))
+
+    got = scratch.keep(probes.select("path", "fp", "n", "words").mapInArrow(meet, PAIR), "met")
+    sent.destroy()
+    return got
+
+
 def _score(a: Column, b: Column) -> Column:
     return jaccard(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,42 @@ def test_class_pairs_against_all_pairs(spark):
         similarity.class_pairs(g.notes, 0)
 
 
+def test_pairs_are_met_without_rows_for_them(spark, monkeypatch):
+    """Sets that share a rare word or two and nothing else are no rows; blocks, passes and parts lose no pair."""
+    from inkgraph.operators import set_join
+
+    r = random.Random(9)
+    vocabulary = [f"plain{i}" for i in range(300)]
+    texts = {f"{i:03d}.md": " ".join([f"rare{i % 3}", *r.sample(vocabulary, 30)]) for i in range(150)}
+    for i in range(0, 150, 5):
+        words = texts[f"{i:03d}.md"].split()
+        texts |= {f"{i:03d}-{k}.md": " ".join(words[: len(words) - k] + [f"own{i}x{j}" for j in range(k)]) for k in (0, 4, 9, 15)}
+    texts |= {f"s{i}.md": f"word{i % 4} word{i % 3}" for i in range(20)}
+    raw = spark.createDataFrame([*texts.items(), (None, "no path here"), ("000.md", texts["000.md"])], "path string, content string")
+    sets = {p: frozenset(t.split()) for p, t in texts.items()}
+    first = {}
+    for p in sorted(sets):
+        first.setdefault(sets[p], p)
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = sorted((a, b, pytest.approx(alike(a, b), abs=1e-6)) for a in first.values() for b in first.values() if a < b and alike(a, b) >= 0.5)
+    for most, block, words in ((1 << 15, 1 << 13, 6_000_000), (25, 4, 6_000_000), (1 << 15, 1 << 13, 1500)):
+        monkeypatch.setattr(similarity, "PASS_SETS", most)
+        monkeypatch.setattr(similarity, "PASS_WORDS", words)
+        monkeypatch.setattr(set_join, "BLOCK_SETS", block)
+        got = similarity.class_pairs(raw, 0.5)
+        assert sorted(map(tuple, got.collect())) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    names = sorted(first.values(), key=lambda p: len(sets[p]))
+    of = [sets[p] for p in names if p[0] != "s" and "-" not in p]
+    sizes, code = np.array([len(x) for x in of]), {w: i * 0x9E3779B97F4A7C15 % (1 << 64) for i, w in enumerate(sorted(set().union(*of)))}
+    flat = np.array([code[w] for x in of for w in x], np.uint64).view(np.int64)
+    found = set_join.ordered(flat, sizes, np.zeros(1 << set_join.RARITY_BITS, np.uint8))
+    met = sum(int((i != j).sum()) for _, b in set_join.blocks(sizes, found, 0.5) for i, j in b.candidates(sizes, found))
+    # Two sets of 31 words of 300 share three or so, and nearly all pairs one at least.
+    assert met < 0.1 * len(of) ** 2
+
+
 def test_suggestions_expand_copies(spark):
     g = made(spark, {f"n{i}.md": "some shared words here" for i in range(5)} | {"m.md": "[[n0]] other words shared"})
     got = g.suggest(0.2, 3).collect()
