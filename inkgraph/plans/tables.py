@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -28,6 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def give_back(spark: SparkSession) -> bool:
+    """Whether the driver's JVM could give the native memory it has freed back to the machine.
+
+    Each of its some hundred threads leaves freed memory in one of the allocator's arenas, which keep it
+    unless they are asked. Not every JVM can be asked.
+    """
+    sc = spark.sparkContext
+    try:
+        # By reflection: the server's own class is not open to calls from outside.
+        ask = next(m for m in sc._jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = sc._gateway.new_array(sc._jvm.java.lang.Object, 4)
+        args[0], args[1] = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        ask.invoke(sc._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores added until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}
@@ -57,6 +76,7 @@ class Scratch:
         at = self.path(label)
         schema = df.schema
         df.write.option("compression", "zstd").parquet(at)
+        give_back(self.spark)
         return self.spark.read.schema(schema).parquet(at), at
 
     def drop(self, *paths: str) -> None:

@@ -13,7 +13,7 @@ from inkgraph.operators import graph, render, resolve, similarity
 from inkgraph.plans import components, sieve
 from inkgraph.plans.components import connected_components
 from inkgraph.plans.prefix import numbered, prefix_sums
-from inkgraph.plans.tables import Scratch
+from inkgraph.plans.tables import Scratch, give_back
 
 
 def made(spark, notes):
@@ -230,6 +230,18 @@ def test_prefix_sums_and_numbers(spark):
     assert {(r["k"], r["n"]) for r in named} == {(3 * i, i) for i in range(100)}
 
 
+def test_written_tables_give_native_memory_back(spark, monkeypatch):
+    """The driver's JVM is asked after each table; it can be, if it is a recent one on Linux."""
+    from inkgraph.plans import tables
+
+    asked = []
+    monkeypatch.setattr(tables, "give_back", lambda s: asked.append(give_back(s)))
+    assert Scratch(spark, "t").keep(spark.range(3), "t").count() == 3
+    version = spark.sparkContext._jvm.java.lang.Runtime.version()
+    recent = version.feature() > 17 or version.feature() == 17 and version.update() >= 9
+    assert asked == [recent and "linux" in spark.sparkContext._jvm.System.getProperty("os.name").lower()]
+
+
 def test_class_pairs_against_all_pairs(spark):
     import random
 
